@@ -46,8 +46,8 @@ class ByteBpe:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.prefix: dict[int, int | None] = {}
-        self.pairs: Memo = Memo(most_pairs)
-        self.pieces: Memo = Memo(most_pieces)
+        self.pairs = Memo(most_pairs, self._pair)
+        self.pieces = Memo(most_pieces, self._piece)
 
     def merged(self, data: bytes) -> list[int]:
         """Plain merging by lowest rank, leftmost first; only for two tokens' worth of bytes."""
@@ -63,12 +63,13 @@ class ByteBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def side_by_side(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        if (known := self.pairs.get(key)) is None:
-            self.pairs.room()
-            known = self.pairs[key] = self.merged(self.vocab[left] + self.vocab[right]) == [left, right]
-        return known
+    def _pair(self, key: tuple[int, int]) -> bool:
+        """Whether two tokens may stand side by side."""
+        return self.merged(self.vocab[key[0]] + self.vocab[key[1]]) == [*key]
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.encode_piece(piece.encode("utf-8"))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def shorter(self, token: int) -> int | None:
         """The longest other token that this token starts with."""
@@ -89,7 +90,7 @@ class ByteBpe:
         at, token = 0, longest[0]
         while at < n:
             last = out[-1] if out else None
-            while token is not None and not (alive[at + size[token]] and (last is None or self.side_by_side(last, token))):
+            while token is not None and not (alive[at + size[token]] and (last is None or self.pairs[last, token])):
                 token = self.shorter(token)
             if token is not None:
                 out.append(token)
@@ -106,17 +107,7 @@ class ByteBpe:
 
     def encode_packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        found = self.findall(text)
-        known = self.pieces
-        distinct = set(found)
-        fresh = sum(p not in known for p in distinct)
-        if fresh:
-            known.room(fresh)
-            for piece in distinct:
-                if piece not in known:
-                    ids = self.encode_piece(piece.encode("utf-8"))
-                    known[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(known.__getitem__, found))
+        return b"".join(map(self.pieces.__getitem__, self.findall(text)))
 
     def decode_packed(self, packed: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, struct.unpack(f"<{len(packed) // 4}I", packed)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,15 +64,20 @@ def broadcast_file(spark: SparkSession, path: str, most: int = 64 << 20):
 
 
 class Memo(dict):
-    """A dict that starts over once it holds ``most`` keys, so that a worker's memory stays bounded."""
+    """A dict that makes missing values itself and starts over once it holds ``most`` keys.
 
-    def __init__(self, most: int):
+    So a worker's memory stays bounded.
+    """
+
+    def __init__(self, most: int, make: Callable):
         super().__init__()
-        self.most = most
+        self.most, self.make = most, make
 
-    def room(self, wanted: int = 1) -> None:
-        if len(self) + wanted > self.most:
+    def __missing__(self, key):
+        if len(self) >= self.most:
             self.clear()
+        value = self[key] = self.make(key)
+        return value
 
 
 _BUILT: dict[tuple, object] = {}

@@ -42,7 +42,6 @@ from .common import Memo, broadcast_file, built_once, materialize, strings
 
 #: Texts for the fast path: Latin with accents and common signs, without the superscripts and fractions that count as numbers.
 PLAIN = re.compile("[\t\n\r -~\xa0-±´-¸º»¿-ſ‐-‧‰-›€]*")
-SPACES = re.compile(r"\s+")
 #: The split that the fast path repeats, as the file has it and as ``re`` has it for PLAIN texts.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -62,7 +61,7 @@ class WordTokenizer:
     def __init__(self, data: bytes, most: int = 400_000):
         self.t = tokenizers.Tokenizer.from_buffer(data)
         self.model = self.t.model
-        self.known: Memo = Memo(most)
+        self.known = Memo(most, self.token_ids)
         spec = json.loads(data)
         self.split = self._splitter(spec)
         self.special = [a["content"] for a in spec.get("added_tokens", [])]
@@ -92,15 +91,8 @@ class WordTokenizer:
     def encode_packed(self, text: str) -> bytes:
         if self.split is None or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self.library(text)
-        found = self.split(SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("İ", "i̇").lower())
-        known, distinct = self.known, set(found)
-        fresh = sum(p not in known for p in distinct)
-        if fresh:
-            known.room(fresh)
-            for p in distinct:
-                if p not in known:
-                    known[p] = self.token_ids(p)
-        return b"".join(map(known.__getitem__, found))
+        # white space only parts pre-tokens, so it need not be replaced first
+        return b"".join(map(self.known.__getitem__, self.split(unicodedata.normalize("NFC", text).lower())))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

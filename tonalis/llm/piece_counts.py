@@ -36,7 +36,7 @@ class PieceCounter:
         # the splits hold if no piece has a mark after another character or a line feed, and texts are taken as they are
         probe = "a  b　ﬁ\tc \n d "
         self.splits = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in pieces) and self._as_is(probe)
-        self.counts: Memo = Memo(most)
+        self.counts = Memo(most, self._count)
 
     def _as_is(self, probe: str) -> bool:
         m = self.model
@@ -55,14 +55,8 @@ class PieceCounter:
             return 0
         if not self.splits or MARK in text:
             return len(self.model.encode(text, num_threads=1))
-        freq = Counter(PRE_TOKEN.findall(" " + text))
-        known = self.counts
-        fresh = [p for p in freq if p not in known]
-        if fresh:
-            known.room(len(fresh))
-            for p in fresh if len(known) else freq:
-                known[p] = self._count(p)
-        return sum(n * known[p] for p, n in freq.items())
+        counts = self.counts
+        return sum(n * counts[pre] for pre, n in Counter(PRE_TOKEN.findall(" " + text)).items())
 
 
 def counter(spark: SparkSession, model_path: str):
