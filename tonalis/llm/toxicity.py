@@ -1,14 +1,16 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Learning: for each word (a run of letters, lower case) the number of toxic and clean training
-documents that hold it, smoothed by a Dirichlet prior that follows the word's prefix (and that
-the classes' shares), gives log-odds; one standard deviation and a drift are taken off, so that
-only words with solid evidence score above zero and clean text drifts down.
+Learning: for each word (a run of letters, lower case) the toxic and clean training documents
+that hold it, smoothed by a Dirichlet prior whose mean follows the word's family (words with the
+same first letters) and whose family mean follows the classes' shares, give log-odds less one
+standard deviation.  Words that training never showed have their family's score.  Tokens
+without a score above ``least`` count -``drift``, their own log-odds in toxic and clean text.  A
+word's n-th occurrence in a document counts a n-th of its score, as repeats say little more.
 
 Scoring: one linear scan (Ruzzo and Tompa) finds all maximal-scoring segments.  Under clean
-text, segment scores follow an extreme-value law (Karlin and Altschul) whose parameters come
-from clean training documents; segments whose expected number in a text of this length is
-below ``significance`` are toxic passages.  Their normalised scores add up to the document's
+text, a text's best segment follows an extreme-value law (Karlin and Altschul) whose lambda and
+K come from clean training documents; segments whose expected number in a text of this length
+is below ``significance`` are toxic passages.  Their normalised scores add up to the document's
 statistic, which a logistic curve fitted on training documents turns into a score.
 
 Labels are learned from a bounded sample of labelled rows (``sample``, by hash of the id);
@@ -39,11 +41,11 @@ PREFIX = 5
 @dataclass
 class Model:
     scores: dict[str, float] = field(default_factory=dict)
-    prefixes: dict[str, float] = field(default_factory=dict)
+    families: dict[str, float] = field(default_factory=dict)
     drift: float = 0.5
     lam: float = 1.0
     k: float = 0.1
-    significance: float = 0.05
+    significance: float = 0.2
     base: float = -30.0
     slope: float = 0.0
 
@@ -80,13 +82,23 @@ class Scorer:
 
     def passages(self, text: str) -> list[tuple[int, int, float]]:
         """Significant segments with normalised scores."""
-        m, found = self.m, WORD.findall(text.lower())
-        get, pre = m.scores.get, m.prefixes.get
-        values = [(i, v) for i, w in enumerate(found) if (v := get(w) or (pre(w[:PREFIX]) if m.prefixes else None))]
-        if not values:
-            return []
-        least = math.log(m.k * max(1, len(found))) - math.log(m.significance)
-        return [(s, e, m.lam * x - least) for s, e, x in segments(values, len(found), m.drift) if m.lam * x > least]
+        n, found = self.maximal(text)
+        m = self.m
+        least = math.log(m.k * max(1, n)) - math.log(m.significance)
+        return [(s, e, m.lam * x - least) for s, e, x in found if m.lam * x > least]
+
+    def maximal(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """The number of tokens and all maximal-scoring segments."""
+        found = WORD.findall(text.lower())
+        get, family, seen, values = self.m.scores.get, self.m.families.get, {}, []
+        for i, w in enumerate(found):
+            v = get(w)
+            if v is None:
+                v = family(w[:PREFIX], 0.0) if len(w) > PREFIX else 0.0
+            if v > 0:
+                seen[w] = n = seen.get(w, 0) + 1
+                values.append((i, v / n))
+        return len(found), segments(values, len(found), self.m.drift) if values else []
 
     def score(self, x: float) -> float:
         z = self.m.base + self.m.slope * math.log1p(x)
@@ -127,39 +139,61 @@ def karlin(scores: list[float], chances: list[float], drift: float) -> float:
     return low
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, most_words: int = 50_000, least_docs: int = 2) -> Model:
+def log_odds(freq: DataFrame, share: float, strength: float, hyper: float) -> DataFrame:
+    """word (null for a whole family), family, score, toxic, clean of words with evidence and of families."""
+
+    def lower_bound(a, b):
+        return F.log(a / b) - math.log(share / (1 - share)) - F.sqrt(1 / a + 1 / b)
+
+    words = freq.where(F.char_length("word") > PREFIX).withColumn("family", F.substring("word", 1, PREFIX))
+    families = words.groupBy("family").agg(F.sum("toxic").alias("gt"), F.sum("clean").alias("gc"))
+    short = freq.where(F.char_length("word") <= PREFIX).select("word", F.col("word").alias("family"), "toxic", "clean", F.col("toxic").alias("gt"), F.col("clean").alias("gc"))
+    both = words.where("toxic > 0 or clean > 0").join(families, "family").select("word", "family", "toxic", "clean", "gt", "gc").union(short)
+    # a word's family counts leave the word itself out
+    mean = (F.col("gt") - F.col("toxic") + hyper * share) / (F.col("gt") + F.col("gc") - F.col("toxic") - F.col("clean") + hyper)
+    scored = both.select("word", "family", lower_bound(F.col("toxic") + strength * mean, F.col("clean") + strength * (1 - mean)).alias("score"), "toxic", "clean")
+    whole = (F.col("gt") + hyper * share) / (F.col("gt") + F.col("gc") + hyper)
+    return scored.union(families.select(F.lit(None).cast("string"), "family", lower_bound(strength * whole, strength * (1 - whole)), "gt", "gc"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, most_words: int = 50_000, least: float = 1.0, strength: float = 5.0, hyper: float = 4.0) -> Model:
     """Learn from the labelled rows of ``docs``; repeated label rows count once, as toxic if any says so.
 
-    ``sample``: labelled ids used, by hash; ``most_words``: words kept, highest scores first.
+    ``sample``: labelled ids used, by hash; ``most_words``: words kept, highest scores first;
+    ``strength`` and ``hyper``: documents that the priors of a word and of a family weigh.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").select("_text", "_y")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").select("_text", "_y").persist()
     sizes = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic or not clean:
+    if not sizes.get(1) or not sizes.get(0):
+        rows.unpersist()
         return Model()
-    share = toxic / (toxic + clean)
     freq = document_frequencies(rows, "_text", "_y").persist()
-    group = freq.groupBy(F.substring("word", 1, PREFIX).alias("g")).agg(F.sum("toxic").alias("gt"), F.sum("clean").alias("gc"))
-
-    def lower_bound(a, b):
-        return F.log(a / b) - math.log(share / (1 - share)) - F.sqrt(1 / a + 1 / b)
-
-    strength, hyper = 1.0, 4.0
-    scored = freq.where(F.col("toxic") >= least_docs).withColumn("g", F.substring("word", 1, PREFIX)).join(group, "g")
-    # a word's own prefix counts leave the word itself out
-    prior = (F.col("gt") - F.col("toxic") + hyper * share) / (F.col("gt") + F.col("gc") - F.col("toxic") - F.col("clean") + hyper)
-    scored = scored.withColumn("s", lower_bound(F.col("toxic") + strength * prior, F.col("clean") + strength * (1 - prior)))
-    top = scored.where(F.col("s") > 0.5).orderBy(F.desc("s"), "word").limit(most_words).select("word", "s", "clean").collect()
+    total = freq.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
+    if not total["t"] or not total["c"]:
+        rows.unpersist(), freq.unpersist()
+        return Model()
+    scored = log_odds(freq, total["t"] / (total["t"] + total["c"]), strength, hyper)
+    top = scored.where(F.col("score") > least).orderBy(F.desc("score"), "family", "word").limit(most_words).collect()
+    # words that training has seen often enough to know better than their family
+    families = {r["family"]: float(r["score"]) for r in top if r["word"] is None}
+    low = scored.where(F.col("family").isin(sorted(families)) & (F.col("score") <= least) & F.col("word").isNotNull()).orderBy(F.desc("clean"), "word").limit(most_words).collect() if families else []
     freq.unpersist()
-    model = Model(scores={r["word"]: float(r["s"]) for r in top})
-    # chances in clean text, a token's share of documents spread over 200 tokens, floored
-    chances = [(r["clean"] + 0.05) / clean / 200 for r in top]
-    model.lam = karlin([r["s"] for r in top], chances, model.drift) if top else 1.0
+    words = [r for r in top if r["word"] is not None]
+    model = Model(scores={r["word"]: float(r["score"]) for r in words} | {r["word"]: 0.0 for r in low}, families=families)
+    # how often a token scores, in toxic and in clean text
+    hit = [(sum(r[c] for r in words) + 0.5) / (total[k] + 1) for c, k in (("toxic", "t"), ("clean", "c"))]
+    model.drift = max(0.02, math.log((1 - min(hit[1], 0.9)) / (1 - min(hit[0], 0.95))))
+    model.lam = karlin([r["score"] for r in words], [(r["clean"] + 0.05) / (total["c"] + 1) for r in words], model.drift) if words else 1.0
+    best = best_segments(spark, model)
+    clean = [(r["n"], r["best"]) for r in rows.where("_y = 0").select(best(F.col("_text")).alias("b")).select("b.n", "b.best").collect() if r["n"]]
+    # the likeliest K of the extreme-value law, given lambda
+    model.k = min(10.0, max(1e-3, len(clean) / sum(n * math.exp(-model.lam * x) for n, x in clean))) if clean else model.k
     statistic = scorer_column(spark, model)
     seen = rows.select(statistic(F.col("_text")).alias("p"), "_y").select("p.statistic", "_y").collect()
+    rows.unpersist()
     x = np.log1p(np.array([r["statistic"] for r in seen]))
     model.base, model.slope = logistic(x, np.array([r["_y"] for r in seen], float))
     return model
@@ -180,6 +214,20 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, floa
     return (a, b) if b > 0 else (math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0)
 
 
+def best_segments(spark: SparkSession, model: Model):
+    """Column function: text -> struct(n, best): its tokens, and the score of its best segment (0 if none)."""
+    sent = spark.sparkContext.broadcast(pickle.dumps(model))
+
+    @F.arrow_udf("struct<n:long,best:double>")
+    def best(text: pa.Array) -> pa.Array:
+        data = sent.value
+        scorer = built_once(("toxicity", len(data), hash(data)), lambda: Scorer(pickle.loads(data)))
+        found = [scorer.maximal(x) for x in strings(text)]
+        return struct_array([("n", pa.array([n for n, _ in found], pa.int64())), ("best", pa.array([max((x for _, _, x in f), default=0.0) for _, f in found], pa.float64()))])
+
+    return best
+
+
 def scorer_column(spark: SparkSession, model: Model):
     """Column function: text -> struct(statistic, score, passages); a passage has token positions and a normalised score."""
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
