@@ -276,7 +276,7 @@ def tuning_similarity(v: DataFrame, M: int, by=BY) -> DataFrame:
     last = 100 * ((M - 1) // 100)
     sent = v.withColumn("theta", theta).where(((F.col("i") - F.col("theta")) >= 0) & ((F.col("i") - F.col("theta")) <= last))
     got = sent.groupBy(*by, "theta").agg(F.sum("v").alias("sim"))
-    grid = v.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(-50), F.lit(49))).cast("long").alias("theta"))
+    grid = v.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(-50).cast("long"), F.lit(49).cast("long"))).alias("theta"))
     out = grid.join(got, [*by, "theta"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0))).withColumn("sim", normalize_by_max("sim", by))
     first = F.min_by("theta", F.struct(-F.col("sim"), "theta")).over(whole(by))
     return out.withColumn("best", F.col("theta") == first)

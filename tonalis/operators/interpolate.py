@@ -26,7 +26,8 @@ def at_times(samples: DataFrame, grid: DataFrame, t: str = "t", x: str = "x", by
     both = seg.unionByName(asked)
     order = Window.partitionBy(*by).orderBy(t, "_kind")
     before = F.last("_k", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_k", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # only needed ahead of the first sample, which is the track's first: a frame over the whole track is computed once
+    after = F.first("_k", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     out = both.withColumns({"_b": before, "_a": after}).where("_kind = 1")
     left = F.coalesce(F.when(F.col("_b._n").isNotNull(), F.col("_b._s")), F.col("_b._p"), F.col("_b._s"), F.col("_a._s"))
     right = F.coalesce(F.when(F.col("_b._n").isNotNull(), F.col("_b._n")), F.when(F.col("_b").isNotNull(), F.col("_b._s")), F.col("_a._n"), F.col("_a._s"))

@@ -169,12 +169,18 @@ def induced_segments(path: DataFrame) -> DataFrame:
 def viterbi(obs: DataFrame, A: np.ndarray, C: np.ndarray, B: np.ndarray, log: bool = True) -> DataFrame:
     """Best states of each observation sequence (track, n, o): track, n, state, score.  Models are small matrices."""
 
-    def run(pdf):
-        p = pdf.sort_values("n")
-        path, score = K.viterbi(A, C, B, p["o"].to_numpy(np.int64), log)
-        return pd.DataFrame({"n": p["n"].to_numpy(), "state": path.astype(np.int32), "score": score})
+    # a row per sequence: many short ones share a batch, where a group each would cost more than decoding
+    rows = obs.groupBy(BY).agg(F.array_sort(F.collect_list(F.struct("n", F.col("o").cast("int").alias("o")))).alias("s"))
+    kind = dict(obs.dtypes)[BY]
+
+    def run(batches):
+        for pdf in batches:
+            got = [K.viterbi(A, C, B, np.array([r["o"] for r in s], np.int64), log) for s in pdf["s"]]
+            sizes = [len(path) for path, _ in got]
+            if got:
+                yield pd.DataFrame({BY: np.repeat(pdf[BY].to_numpy(), sizes), "n": [r["n"] for s in pdf["s"] for r in s], "state": np.concatenate([p for p, _ in got]).astype(np.int32), "score": np.repeat([v for _, v in got], sizes)})
 
-    return per_group(obs, BY, run, "n long, state int, score double")
+    return rows.mapInPandas(run, f"{BY} {kind}, n long, state int, score double")
 
 
 def viterbi_likelihood(frames: DataFrame, A: np.ndarray, C: np.ndarray) -> DataFrame:

@@ -68,6 +68,10 @@ def filter_diag_mult(cells: DataFrame, L: int = 1, tempi: list[float] = (1.0,),
     sized = cells.withColumn("_M", F.max("m").over(whole(by)) + 1)
     out = None
     for tempo in tempi:
+        if tempo == 1:  # columns stay in place
+            one = (filter_diag(cells, L, direction, by) if L > 1 else cells).select(*by, "n", "m", "v")
+            out = one if out is None else out.unionByName(one)
+            continue
         wide = F.ceil(F.col("_M") / float(tempo))
         columns = sized.select(*by, "_M").distinct().select(*by, "_M", wide.alias("_W"))
         # column r of the stretched matrix shows column max(0, round((r + 1) / W * M) - 1)
@@ -82,21 +86,22 @@ def filter_diag_mult(cells: DataFrame, L: int = 1, tempi: list[float] = (1.0,),
     return out.groupBy(*by, "n", "m").agg(F.greatest(F.max("v"), F.lit(0.0)).alias("v"))
 
 
-def shift_vectors(x: DataFrame, shift: int) -> DataFrame:
+def shift_vectors(x: DataFrame, shift: int | Column) -> DataFrame:
     """Roll each frame's array so that bin k moves to k + shift."""
-    s = F.pmod(F.lit(shift), F.size("vec"))
+    s = F.pmod(F.lit(shift) if isinstance(shift, int) else shift, F.size("vec"))
     return x.withColumn("vec", F.concat(F.slice("vec", F.size("vec") - s + 1, s), F.slice("vec", F.lit(1), F.size("vec") - s)))
 
 
 def sm_ti(x: DataFrame, y: DataFrame, L: int = 1, tempi: list[float] = (1.0,), shifts: list[int] = (0,), direction: int = 2) -> DataFrame:
     """Transposition-invariant similarity: maximum over shifts of the smoothed matrices, and its first shift: pair_id, n, m, v, shift."""
-    out = None
-    for order, shift in enumerate(shifts):
-        s = pairwise(x, shift_vectors(y, shift), "dot")
-        parts = [filter_diag_mult(s, L, tempi, d) for d in ((0, 1) if direction == 2 else (direction,))]
-        one = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).groupBy("pair_id", "n", "m").agg(F.max("v").alias("v"))
-        one = one.withColumns({"_o": F.lit(-order), "shift": F.lit(shift)})
-        out = one if out is None else out.unionByName(one)
+    # all shifts in one matrix per (pair, shift): one join and one pass of windows
+    each = F.explode(F.array(*[F.struct(F.lit(-i).alias("_o"), F.lit(int(t)).alias("shift")) for i, t in enumerate(shifts)]))
+    turned = shift_vectors(y.withColumn("_s", each), F.col("_s.shift"))
+    a = x.select(F.col("track_id").alias("pair_id"), "n", F.col("vec").alias("_a"))
+    b = turned.select(F.col("track_id").alias("pair_id"), F.col("n").alias("m"), F.col("vec").alias("_b"), "_s._o", "_s.shift")
+    s = a.join(b, "pair_id").select("pair_id", "_o", "shift", "n", "m", dot("_a", "_b").alias("v"))
+    parts = [filter_diag_mult(s, L, tempi, d, ("pair_id", "_o", "shift")) for d in ((0, 1) if direction == 2 else (direction,))]
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     best = out.groupBy("pair_id", "n", "m").agg(F.max(F.struct("v", "_o", "shift")).alias("s"))
     return best.select("pair_id", "n", "m", "s.v", "s.shift")
 

@@ -63,25 +63,29 @@ def fir(df: DataFrame, kernel, x: str = "x", out: str = "y", by=BY, order: str =
     """
     kernel = [float(k) for k in kernel]
     before, after = same_frame(len(kernel))
+    if edge == "reflect":
+        wide = reflected(df, max(-before, after), by, order)
+        return fir(wide, kernel, x, out, by, "_pos").where("_own").drop("_pos", "_own")
     w = over(by, order)
-    term = lambda d: F.coalesce(F.lag(x, -d).over(w) if d <= 0 else F.lead(x, d).over(w), _outside(x, d, by, order, edge))
     # convolution flips the kernel: the sample at n + d has weight kernel[center - d]
-    total = None
+    total, center = None, (len(kernel) - 1) // 2
     for d in range(before, after + 1):
-        weight = kernel[(len(kernel) - 1) // 2 - d] if 0 <= (len(kernel) - 1) // 2 - d < len(kernel) else 0.0
-        if weight:
-            part = term(d) * weight
+        if 0 <= center - d < len(kernel) and kernel[center - d]:
+            part = F.coalesce(F.lag(x, -d).over(w) if d <= 0 else F.lead(x, d).over(w), F.lit(0.0)) * kernel[center - d]
             total = part if total is None else total + part
     return df.withColumn(out, F.lit(0.0) if total is None else total)
 
 
-def _outside(x: str, d: int, by, order: str, edge: str) -> Column:
-    if edge == "zero" or not d:
-        return F.lit(0.0)
-    values = F.transform(F.array_sort(F.collect_list(F.struct(order, x)).over(whole(by))), lambda s: s[x])
-    n, at = F.size(values), F.row_number().over(over(by, order)) - 1 + d
-    back = F.pmod(at, n * 2)
-    return F.get(values, F.when(back < n, back).otherwise(n * 2 - 1 - back).cast("int"))
+def reflected(df: DataFrame, reach: int, by, order: str = "n") -> DataFrame:
+    """A dense signal with ``reach`` mirrored samples on both sides (the border repeated).
+
+    Adds the place ``_pos`` and ``_own`` (not mirrored); short signals are mirrored repeatedly.
+    """
+    size = F.max(order).over(whole(by)) + 1
+    turns = F.sequence(-F.floor((F.lit(reach) + F.col("_N") * 2) / (F.col("_N") * 2)), F.floor((F.lit(reach) + F.col("_N") * 2) / (F.col("_N") * 2)))
+    places = F.flatten(F.transform(turns, lambda j: F.array(F.col(order) + j * F.col("_N") * 2, j * F.col("_N") * 2 - 1 - F.col(order))))
+    out = df.withColumn("_N", size).withColumn("_pos", F.explode(places)).where(f"_pos >= {-reach} and _pos < _N + {reach}")
+    return out.withColumn("_own", F.col("_pos") == F.col(order)).drop("_N")
 
 
 def moving_median(df: DataFrame, length: int, v: str = "v", out: str = "median", by=("track_id", "k"), order: str = "n", edge: str = "zero") -> DataFrame:
@@ -95,16 +99,9 @@ def moving_median(df: DataFrame, length: int, v: str = "v", out: str = "median",
         got = F.collect_list(v).over(w.rowsBetween(-before, after))
         padded = F.concat(got, F.array_repeat(F.lit(0.0), F.lit(length) - F.size(got)))
         return df.withColumn(out, F.get(F.array_sort(padded), F.lit(length // 2)))
-    values = F.transform(F.array_sort(F.collect_list(F.struct(order, v)).over(whole(by))), lambda s: s[v])
-    tmp = df.withColumns({"_all": values, "_at": F.row_number().over(w) - 1})
-
-    def at(i):
-        n = F.size("_all")
-        back = F.pmod(F.col("_at") + i, n * 2)
-        return F.get("_all", F.when(back < n, back).otherwise(n * 2 - 1 - back).cast("int"))
-
-    window = F.transform(F.sequence(F.lit(-before), F.lit(after)), at)
-    return tmp.withColumn(out, F.get(F.array_sort(window), F.lit(length // 2))).drop("_all", "_at")
+    wide = reflected(df, max(before, after), by, order)
+    got = F.collect_list(v).over(over(by, "_pos").rowsBetween(-before, after))
+    return wide.withColumn(out, F.get(F.array_sort(got), F.lit(length // 2))).where("_own").drop("_pos", "_own")
 
 
 def hann_periodic(n: int) -> np.ndarray:

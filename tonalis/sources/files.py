@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import io
 import struct
+import tempfile
+import uuid
 import wave
 import xml.etree.ElementTree as ET
 import zipfile
@@ -21,6 +23,15 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir``; only where that is unset below a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="tonalis-shared-")
+        spark.sparkContext.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, sep: str = ";", label: str | None = None) -> DataFrame:
     """A CSV with empty strings kept; optionally a constant label column, which must not exist yet."""
     df = spark.read.schema(schema).option("sep", sep).option("header", header).option("emptyValue", "").option("nullValue", "\u0000").csv(path)
