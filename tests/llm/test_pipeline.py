@@ -6,6 +6,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from tonalis.llm import simhash
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, row string, verdict string, id string"
 
 
@@ -50,3 +52,33 @@ def test_empty_tables(spark, world, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def jaccard(one: str, two: str) -> float:
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (one.split(), two.split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("small", [32, 2])
+def test_near_copies_from_similarity_0_8_on_go(spark, small):
+    """Planted copies of similarity 0.8 to 0.95 are linked, less similar ones aren't."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, want = [], {}
+    for i in range(240):
+        base = rng.choices(vocabulary, k=rng.choice([40, 150, 600]))
+        copy, aim = list(base), (0.7, 0.8, 0.85, 0.9, 0.95)[i % 5]
+        for k in rng.sample(range(len(base)), len(base)):
+            once = [*copy[:k], "other", *copy[k + 1 :]]
+            if jaccard(" ".join(base), " ".join(once)) >= aim:
+                copy = once
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        want[2 * i + 1] = 2 * i if jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else 2 * i + 1
+    hub = rng.choices(vocabulary, k=300)  # a large group of near copies, each with a word changed
+    group = [(1000 + k, " ".join([*hub[:k], "odd", *hub[k + 1 :]])) for k in range(60)]
+    docs = spark.createDataFrame(rows + group + [(2000, None), (2001, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, small=small).collect()}
+    assert {k: got[k] for k in want} == want
+    assert {got[k] for k, _ in group} == {1000} and got[2001] == got[2000] == 2000
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()} if small == 32 else None
+    assert kept is None or kept == {k for k, v in got.items() if k == v}
