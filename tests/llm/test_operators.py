@@ -399,3 +399,17 @@ def test_recall_on_the_large_table(spark):
     want = int((U @ U.T >= 0.95).sum()) - len(X)
     found = caps.near_duplicates(rows).agg(F.sum("n_links")).first()[0]
     assert 0.99 * want <= found <= want
+
+
+@pytest.mark.parametrize("n", [2_000, 80_000, 1_000_000, 5_000_000])
+def test_recall_does_not_fall_with_the_number_of_vectors(n):
+    """Pairs other than those the filters were tuned on, with the width and threshold for n vectors."""
+    width, sds, least = caps.tuned(n, 64)
+    rng = np.random.default_rng(9)
+    x, z = rng.standard_normal((2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.951 * x + (1 - 0.951**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    code = caps.Code(64, width, 20)
+    one, two = code.decode(x, sds / 8, least), code.decode(y, sds / 8, least)
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(one, two)]) >= 0.97

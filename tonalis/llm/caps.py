@@ -101,6 +101,31 @@ def plan(n: int, wanted: float = 9.0, per_filter: float = 60.0) -> tuple[int, fl
     return width, low
 
 
+def measured_recall(dim: int, width: int, sds: float, least: int, cosine: float, seed: int, pairs: int = 1000) -> float:
+    """The share of random pairs at ``cosine`` with a common filter."""
+    rng = np.random.default_rng([seed, 1])
+    x, z = rng.standard_normal((2, pairs, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    code = Code(dim, width, seed)
+    one, two = (code.decode(v, sds / math.sqrt(dim), least) for v in (x, y))
+    return sum(len(np.intersect1d(a, b)) > 0 for a, b in zip(one, two, strict=True)) / pairs
+
+
+def tuned(n: int, dim: int, cosine: float = 0.95, wanted: float = 9.0, least: int = 4, target: float = 0.985, seed: int = 20) -> tuple[int, float, int]:
+    """Directions per half, threshold and least filters for ``n`` vectors of ``dim`` components.
+
+    Filters per vector grow, from ``wanted`` and ``least`` on, until the recall measured at
+    ``cosine`` meets ``target``; with more vectors the threshold is higher and more are needed.
+    """
+    while True:
+        width, sds = plan(n, wanted)
+        if dim < 2 or cosine >= 1 or measured_recall(dim, width, sds, least, cosine, seed) >= target:
+            return width, sds, least
+        wanted, least = wanted * 1.25, math.ceil(least * 1.25)
+
+
 def links_in_run(x: np.ndarray, size: np.ndarray, filters: list[np.ndarray], own: int, chunk: np.ndarray, cosine: float, block: int = 1024) -> tuple[np.ndarray, Union]:
     """Link counts of a run's classes for pairs whose first common filter is ``own``, and their components.
 
@@ -132,14 +157,16 @@ def links_in_run(x: np.ndarray, size: np.ndarray, filters: list[np.ndarray], own
 def near_duplicates(rows: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", wanted: float = 9.0, least: int = 4, most: int = 4000, seed: int = 20) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    ``wanted``: filters per vector on average; ``least``: filters at least; ``most``: rows of a
+    ``wanted``: filters per vector on average; ``least``: filters at least (both grow with the
+    table, see ``tuned``); ``most``: rows of a
     filter beyond which it is split.
     """
     spark: SparkSession = rows.sparkSession
     packed = materialize(rows.select(F.col(id_col).cast("long").alias("vec_id"), packer()(F.col(vector_col).cast("array<double>")).alias("packed")).withColumn("key", F.sha2("packed", 256)), "vectors")
     ids = packed.select("vec_id", "key")
     classes = materialize(packed.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"), F.first("packed").alias("packed")), "classes")
-    width, sds = plan(classes.count(), wanted)
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy((F.length("packed") / 8).cast("int").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    plans = {dim: tuned(n, dim, cosine, wanted, least, seed=seed) for dim, n in sizes.items()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +175,9 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
             for i, v in enumerate(vectors):
                 groups.setdefault(len(v) // 8, []).append(i)
             for dim, own in groups.items():
-                code = built_once(("caps", dim, width, seed), lambda dim=dim: Code(dim, width, seed))
-                found = code.decode(unit([vectors[i] for i in own]), sds / math.sqrt(dim), least)
+                width, sds, at_least = plans[dim]
+                code = built_once(("caps", dim, width, seed), lambda dim=dim, width=width: Code(dim, width, seed))
+                found = code.decode(unit([vectors[i] for i in own]), sds / math.sqrt(dim), at_least)
                 yield pa.record_batch([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), batch.column(2).take(pa.array(own)), pa.array([dim] * len(own), pa.int32()), pa.array([f.tolist() for f in found], pa.list_(pa.int64()))], names=["node", "size", "packed", "dim", "filters"])
 
     decoded = classes.select("node", "size", "packed").mapInArrow(decode, "node long, size long, packed binary, dim int, filters array<long>")
