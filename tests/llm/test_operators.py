@@ -207,6 +207,13 @@ def test_small_plans_are_optimal(lengths):
     assert all(sum(k * v for k, v in p.items()) <= 10 for p, _ in got)
 
 
+def test_fillings_mix_counts_of_a_length():
+    histogram = {2096: 1000, 800: 1000, 600: 2000}
+    got = packing.plan(histogram, 4096)
+    assert sum(n for _, n in got) == 1000
+    assert {k: sum(p.get(k, 0) * n for p, n in got) for k in histogram} == histogram
+
+
 # ---------------------------------------------------------------- 5 SimHash
 
 

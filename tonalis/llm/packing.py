@@ -126,11 +126,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
 Pattern = tuple[dict[int, int], int]  # lengths with how often each occurs in a sequence, and the number of sequences
 
 
-def complete(rest: int, lengths: list[int], left: dict[int, int], tries: int = 2000) -> dict[int, int]:
+def complete(rest: int, lengths: list[int], left: dict[int, int], mixed: bool = True, tries: int = 2000) -> dict[int, int]:
     """The undominated filling of ``rest`` with the least waste found within ``tries`` nodes.
 
     ``lengths``: ascending lengths that are left.  The search goes by descending length, takes
-    as many of a length as fit first, and stops at no waste.  A filling that could take another
+    as many of a length as fit first and then, if ``mixed``, fewer, and stops at no waste.  A filling that could take another
     document is dominated by the one that does, so only maximal fillings are compared.
     """
     best: tuple[int, dict[int, int]] = (rest, {})
@@ -157,7 +157,8 @@ def complete(rest: int, lengths: list[int], left: dict[int, int], tries: int = 2
                     chosen[length] -= n
                     if done or nodes >= tries:
                         return True
-                    break  # fewer of the same length leave room that only smaller ones fill: seen by later branches
+                    if not mixed:
+                        break
             at -= 1
         return False
 
@@ -165,14 +166,14 @@ def complete(rest: int, lengths: list[int], left: dict[int, int], tries: int = 2
     return best[1]
 
 
-def completion_plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+def completion_plan(histogram: dict[int, int], capacity: int, mixed: bool = True) -> list[Pattern]:
     left = {k: v for k, v in histogram.items() if v}
     lengths = sorted(left)
     out: list[Pattern] = []
     while lengths:
         largest = lengths[-1]
         left[largest] -= 1
-        fill = complete(capacity - largest, [x for x in lengths if left[x]] if not left[largest] else lengths, left)
+        fill = complete(capacity - largest, [x for x in lengths if left[x]] if not left[largest] else lengths, left, mixed)
         left[largest] += 1
         pattern = dict(fill)
         pattern[largest] = pattern.get(largest, 0) + 1
@@ -273,7 +274,9 @@ def plan(histogram: dict[int, int], capacity: int, small: int = 60) -> list[Patt
     tokens = sum(k * v for k, v in histogram.items())
     bound = -(-tokens // capacity)
     count = lambda p: sum(n for _, n in p)
-    best = min((best_fit_plan(histogram, capacity), completion_plan(histogram, capacity)), key=count)
+    best = min((best_fit_plan(histogram, capacity), completion_plan(histogram, capacity, mixed=False)), key=count)
+    if bound < count(best):
+        best = min((best, completion_plan(histogram, capacity)), key=count)
     if bound < count(best) and sum(histogram.values()) <= small:
         while (better := exact_plan([k for k, v in histogram.items() for _ in range(v)], capacity, count(best))) is not None:
             best = [({x: one.count(x) for x in set(one)}, 1) for one in better]
