@@ -306,6 +306,12 @@ def test_languages_are_told_apart(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + 20 * i)}{chr(0x4E01 + 20 * i)} " * 20, f"l{i:02d}") for i in range(70)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted({r[2] for r in rows})
+
+
 def test_kneser_ney_probabilities_add_up():
     key, sizes = langid.grams(["abab", "abba", "bab"])
     keys, counts = np.unique(key, return_counts=True)
