@@ -306,10 +306,18 @@ def test_languages_are_told_apart(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
-def test_every_language_is_learned(spark):
+def test_every_language_and_four_gram_is_learned(spark):
+    """More than 64 languages, and one of more than 200,000 distinct four-grams."""
     rows = [(i, f"{chr(0x4E00 + 20 * i)}{chr(0x4E01 + 20 * i)} " * 20, f"l{i:02d}") for i in range(70)]
+    rng = random.Random(11)
+    wide = ["".join(chr(0xAC00 + rng.randrange(5000)) for _ in range(8)) for _ in range(25_000)]
+    rows += [(100 + k, " ".join(wide[k::50]), "wide") for k in range(50)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.languages == sorted({r[2] for r in rows})
+    scorer = langid.Scorer(model)
+    assert all(model.languages[int(scorer.entropy(t).argmin())] == g for _, t, g in rows)
+    want = np.unique(np.concatenate([langid.grams(sorted({w for _, t, _ in rows for w in langid.words(t)}))[0]]))
+    assert len(want) > 200_000 and np.array_equal(model.keys[3], want)
 
 
 def test_kneser_ney_probabilities_add_up():
