@@ -244,24 +244,57 @@ def test_simhash_equals_brute_force(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_gray_index_finds_all_links():
-    rng = np.random.default_rng(3)
-    codes = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    near = codes[:150] ^ (np.uint64(1) << rng.integers(0, 63, 150, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 150, dtype=np.uint64))
-    codes = np.unique(np.concatenate([codes, near]))
-    got = {tuple(sorted(p)) for i, j in simhash.GrayIndex(codes).links(4) for p in zip(i.tolist(), j.tolist())}
-    d = np.bitwise_count(codes[:, None] ^ codes[None, :])
-    want = {(i, j) for i, j in zip(*np.nonzero(d <= 4)) if i < j}
-    assert got == want
+def near_codes(rng, n):
+    """Codes of which half lie within four bits of another, and a dense cluster."""
+    codes = rng.integers(0, 1 << 63, n // 2, dtype=np.uint64)
+    near = codes.copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << rng.integers(0, 63, n // 2, dtype=np.uint64)
+    cluster = codes[0] ^ (np.uint64(1) << rng.integers(0, 63, n // 4, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, n // 4, dtype=np.uint64))
+    return np.unique(np.concatenate([codes, near, cluster, [np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)]]))
+
+
+def connected(codes, bits):
+    label = np.arange(len(codes))
+    close = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= bits
+    while True:
+        new = np.where(close, label[None, :], len(codes)).min(1)
+        if (new == label).all():
+            return label
+        label = new
 
 
-def test_hot_fingerprint_blocks_lose_no_link(spark):
-    """A chain of fingerprints that share most blocks, split into chunks of a few rows."""
-    fps = [sum(1 << (k % 64) for k in range(i, i + 3)) for i in range(0, 60, 2)]
-    nodes = spark.createDataFrame([(f if f < 1 << 63 else f - (1 << 64), i) for i, f in enumerate(fps)], "fp long, node long")
-    parts = components.connected_components(simhash.fingerprint_links(nodes, 4, most=4))
-    label = classes(list(range(len(fps))), fps, 4)
-    assert {r["node"]: r["component"] for r in parts.collect()} == {k: v for k, v in label.items() if list(label.values()).count(v) > 1}
+@pytest.mark.parametrize("n", [2, 20, 300, 3000])
+def test_gray_index_connects_what_brute_force_connects(n):
+    codes = near_codes(np.random.default_rng(n), n)
+    want = connected(codes, 4)
+    union, index = components.Union(len(codes)), simhash.GrayIndex(codes)
+    visits = simhash.walk(index, index, 4, union)
+    assert np.array_equal(union.label, want)
+    assert 0 < visits and (n < 3000 or visits < len(codes) * (len(codes) - 1) / 2)  # whole groups are dropped
+    half, whole = len(codes) // 2, components.Union(len(codes))
+    for part, at in ((codes[:half], 0), (codes[half:], half)):
+        own = components.Union(len(part))
+        one = simhash.GrayIndex(part)
+        simhash.walk(one, one, 4, own)
+        whole.add(np.arange(len(part)) + at, own.label + at)
+    a, b = simhash.segment_links(codes, np.arange(len(codes)), (np.arange(len(codes)) >= half).astype(int), 4)
+    whole.add(a, b)
+    assert np.array_equal(whole.label, want)
+
+
+def test_fingerprint_segments_lose_no_link(spark):
+    """Many small segments and one, chains across them, and groups of over a thousand links."""
+    codes = np.concatenate([near_codes(np.random.default_rng(8), 1600), np.array([sum(1 << (k % 64) for k in range(i, i + 3)) for i in range(0, 60, 2)], np.uint64)])
+    codes = np.unique(codes)
+    nodes = spark.createDataFrame([(f, i) for i, f in enumerate(codes.view(np.int64).tolist())], "fp long, node long")
+    label = connected(codes, 4)
+    size = np.bincount(label, minlength=len(codes))
+    want = {i: int(x) for i, x in enumerate(label) if size[x] > 1}
+    assert size.max() > 300
+    for params in (dict(largest=100), dict(parts=1), {}):
+        parts = components.connected_components(simhash.fingerprint_links(nodes, 4, **params))
+        assert {r["node"]: r["component"] for r in parts.collect()} == want
 
 
 # ---------------------------------------------------------------- 6 WARC

@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that is unset (tests, a
-    single machine) a temporary folder is made and set as the checkpoint folder.
+    ``spark.checkpoint.dir`` names it on a cluster.  Where that is unset, a local master gets a
+    temporary folder as its checkpoint folder; any other master has no folder and raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     now = spark.sparkContext.getCheckpointDir()
     if not now:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         now = tempfile.mkdtemp(prefix="tonalis-checkpoint-")
         spark.sparkContext.setCheckpointDir(now)
     return now.rstrip("/")
@@ -37,7 +39,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    jvm, path = df.sparkSession._jvm, df._written_to
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def crc_fold(id_col: Column) -> Column:
@@ -66,14 +77,18 @@ def broadcast_file(spark: SparkSession, path: str, most: int = 64 << 20):
 class Memo(dict):
     """A dict that makes missing values itself and starts over once it holds ``most`` keys.
 
-    So a worker's memory stays bounded.
+    Keys of over ``longest`` characters are not kept, so a worker's memory is bounded in bytes, too.
     """
 
+    longest = 256
+
     def __init__(self, most: int, make: Callable):
         super().__init__()
         self.most, self.make = most, make
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)

@@ -11,24 +11,36 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
+
+
+SALTS = 16
+
+
+def _spread(edges: DataFrame, least: DataFrame, how: str) -> DataFrame:
+    """``edges`` joined to ``least`` by u; the edges of a hub are dealt to SALTS keys."""
+    copies = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(copies, ["u", "_salt"], how).drop("_salt")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """``node``, ``component`` (the smallest node reachable) for each node with an edge.
 
     Loops and nulls are left out; repeated edges count once.  Ends when a round changes nothing.
+    Nodes that are their own smallest neighbour, such as the hubs of stars, need no lookup; the
+    others' edges are salted.  The tables of past rounds are deleted.
     """
     pair = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     stars = materialize(pair, "edges")
     before = None
     for _ in range(rounds):
         both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("x"), F.col("m").alias("y")).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-        stars = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        lower = stars.groupBy("u").agg(F.min("v").alias("m"))  # u > v in every row: nodes with a smaller neighbour
+        large = _spread(both.where("v > u"), lower, "left").select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        small = _spread(large, least.where("_n > 1").drop("_n"), "inner").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        past, stars = stars, materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        discard(past)
         n, h = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, h) == before:
             break
@@ -44,13 +56,15 @@ class Union:
     def __init__(self, n: int):
         self.label = np.arange(n)
 
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        label = self.label
+    def add(self, i: np.ndarray, j: np.ndarray) -> bool:
+        """Join the components of i and j, pair by pair; True if any were apart."""
+        label, changed = self.label, False
         while len(i):
             x, y = label[i], label[j]
             apart = x != y
             if not apart.any():
                 break
+            changed = True
             i, j, x, y = i[apart], j[apart], x[apart], y[apart]
             low = np.minimum(x, y)
             np.minimum.at(label, x, low)
@@ -60,3 +74,4 @@ class Union:
                 if np.array_equal(nxt, label):
                     break
                 label[:] = nxt
+        return changed

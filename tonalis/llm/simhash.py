@@ -1,22 +1,24 @@
 """SimHash near-duplicates found through a Gray-order hierarchical index.
 
 A fingerprint bit is set if it is set in over half of a text's shingle hashes.  Documents with
-equal fingerprints are one node.  Two fingerprints within ``bits`` differing bits agree in at
-least two of ``bits + 2`` blocks, so each node goes to the run of every pair of blocks.  Within a
-run, fingerprints are sorted by Gray rank and grouped sixteen by sixteen, level upon level; a
-group keeps the bits that all its members share, less those of the group above it.  A search
-walks from the top, adds up differing shared bits and drops whole groups once over the limit.
-A run yields at most one link per node, to the smallest node it is connected with, and the
-links' connected components are taken over all runs.  Hot runs are split into pairs of chunks.
+equal fingerprints are one node.  Nodes are sorted by Gray rank and cut into segments of ranks.
+Within a segment they are grouped sixteen by sixteen, level upon level; a group keeps the bits
+that all its members have set and those that all have unset.  Two groups differ at least in the
+bits that one shares as set and the other as unset; this sum grows down the tree, and pairs of
+groups beyond the limit are dropped whole.  The segments themselves are the groups above: only
+pairs of segments that may hold a link meet in a task, and each pair is walked there from its
+top groups down.  Groups whose members are known to be connected aren't compared again.  A task
+yields at most one link per node, to the smallest node it is connected with, and the links'
+connected components are taken over all tasks.
 
 A text without words (or null) has fingerprint 0 and is linked like any other; a text of fewer
-words than a shingle is one shingle.  Repeated rows keep their multiplicity.
+words than a shingle is one shingle; very long texts are hashed block by block.  Repeated rows
+keep their multiplicity, and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -74,104 +76,147 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchy over codes in Gray order; ``levels[0]`` holds the codes, each level above groups of FAN."""
-
-    def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
-        leaf = codes[self.order]
-        ones, zeros = [leaf], [~leaf]  # bits that all members have set, and unset
-        while len(ones[-1]) > FAN:
-            at = np.arange(0, len(ones[-1]), FAN)
-            ones.append(np.bitwise_and.reduceat(ones[-1], at))
-            zeros.append(np.bitwise_and.reduceat(zeros[-1], at))
-        self.pattern, self.mask = ones, []
-        for k, (one, zero) in enumerate(zip(ones, zeros, strict=True)):
-            shared = one | zero
-            if k + 1 < len(ones):
-                above = np.repeat(ones[k + 1] | zeros[k + 1], FAN)[: len(shared)]
-                shared = shared & ~above  # the group above has compared these
-            self.mask.append(shared)
-
-    def links(self, bits: int, room: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (as positions in the given codes, each once) within ``bits`` differing bits."""
-        leaf, top = self.pattern[0], len(self.pattern) - 1
-        n = len(leaf)
-        step = max(1, min(512, room // max(1, n)))
-        for begin in range(0, n, step):
-            q = np.repeat(np.arange(begin, min(n, begin + step)), len(self.pattern[top]))
-            node = np.tile(np.arange(len(self.pattern[top])), min(n, begin + step) - begin)
-            spent = np.zeros(len(q), np.uint8)
-            for level in range(top, -1, -1):
-                # groups that end before the query have been searched from the other side
-                q, node, spent = self._keep(q, node, spent, (node + 1) * FAN**level > q + (level == 0))
-                spent = spent + np.bitwise_count((leaf[q] ^ self.pattern[level][node]) & self.mask[level][node])
-                q, node, spent = self._keep(q, node, spent, spent <= bits)
-                if level:
-                    below = len(self.pattern[level - 1])
-                    q, spent = np.repeat(q, FAN), np.repeat(spent, FAN)
-                    node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                    q, node, spent = self._keep(q, node, spent, node < below)
-            if len(q):
-                yield self.order[q], self.order[node]
+    """Hierarchy over codes in Gray order.
+
+    ``ones[k]`` and ``zeros[k]`` hold the bits that all members of a group have set and unset;
+    level 0 is the codes themselves, filled up to whole groups with the last one.
+    """
+
+    def __init__(self, codes: np.ndarray, height: int = 1):
+        order = np.argsort(gray_rank(codes), kind="stable")
+        self.order = np.append(order, np.repeat(order[-1:], -len(order) % FAN))
+        self.ones, self.zeros, self.sizes = [codes[self.order]], [~codes[self.order]], [len(self.order)]
+        while self.sizes[-1] > FAN or len(self.sizes) <= height:
+            for table, merge in ((self.ones, np.bitwise_and), (self.zeros, np.bitwise_and)):
+                table.append(self._filled(merge.reduceat(table[-1], np.arange(0, self.sizes[-1], FAN))))
+            self.sizes.append(-(-self.sizes[-1] // FAN))
+        self.height = len(self.sizes) - 1
 
     @staticmethod
-    def _keep(q, node, spent, which):
-        return q[which], node[which], spent[which]
+    def _filled(x: np.ndarray) -> np.ndarray:
+        return np.append(x, np.repeat(x[-1:], -len(x) % FAN))
 
+    def same(self, label: np.ndarray) -> list[np.ndarray]:
+        """For each group of each level its members' label, or -1 if they have several."""
+        low = high = label[self.order]
+        out = [low]
+        for _ in range(self.height):
+            at = np.arange(0, len(low), FAN)
+            low, high = (self._filled(f.reduceat(x, at)) for f, x in ((np.minimum, low), (np.maximum, high)))
+            out.append(np.where(low == high, low, -1))
+        return out
 
-def block_keys(code: Column, bits: int) -> list[Column]:
-    """A key for each pair of ``bits + 2`` blocks: the pair's number and both blocks' bits."""
-    n = bits + 2
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    cut = lambda i: F.shiftrightunsigned(code, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    return [F.concat_ws("-", F.lit(str(k)), cut(i), cut(j)) for k, (i, j) in enumerate(combinations(range(n), 2))]
 
+def walk(one: GrayIndex, two: GrayIndex, bits: int, union: Union, shift: int = 0, most: int = 1024) -> int:
+    """Connect in ``union`` all codes of ``one`` and ``two`` within ``bits`` differing bits.
 
-def fingerprint_links(nodes: DataFrame, bits: int, most: int = 20_000) -> DataFrame:
+    The codes of ``two`` have places from ``shift`` on in ``union``; with ``one is two`` each pair of
+    groups is met once.  Both need the same height.  Returns the number of pairs compared.
+    """
+    own = one is two
+    visits, same = 0, None
+    top = [np.arange(x.sizes[-1], dtype=np.int32) for x in (one, two)]
+    a, b = (x.ravel() for x in np.meshgrid(*top, indexing="ij"))
+    todo = [(one.height, a[keep], b[keep]) for keep in [a <= b if own else np.ones(len(a), bool)]]
+    while todo:
+        level, a, b = todo.pop()
+        if same is None:
+            same = one.same(union.label), (two.same(union.label[shift:]) if not own else None)
+        left, right = same[0][level][a], same[own - 1][level][b]
+        keep = (left < 0) | (left != right)
+        a, b = a[keep], b[keep]
+        if not len(a):
+            continue
+        if level == 0:
+            visits += len(a)
+            if union.add(one.order[a], two.order[b] + shift):
+                same = None
+            continue
+        below = level - 1
+        cut = lambda table, at: table[below].reshape(-1, FAN)[at]  # noqa: B023, E731
+        if below:
+            differ = np.bitwise_count((cut(one.ones, a)[:, :, None] & cut(two.zeros, b)[:, None, :]) | (cut(one.zeros, a)[:, :, None] & cut(two.ones, b)[:, None, :]))
+        else:
+            differ = np.bitwise_count(cut(one.ones, a)[:, :, None] ^ cut(two.ones, b)[:, None, :])
+        visits += differ.size
+        pair, i, j = np.nonzero(differ <= bits)
+        a, b = a[pair] * FAN + i.astype(np.int32), b[pair] * FAN + j.astype(np.int32)
+        keep = (a < one.sizes[below]) & (b < two.sizes[below])
+        if own:
+            keep &= a < b if not below else a <= b
+        a, b = a[keep], b[keep]
+        step = most if below else max(1, len(a))
+        todo += [(below, a[at : at + step], b[at : at + step]) for at in range(0, len(a), step)][::-1]
+    return visits
+
+
+def segment_links(code: np.ndarray, node: np.ndarray, side: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b), at most one a node, that connect two segments (or one, if ``side`` is all 0) as all their pairs would."""
+    order = np.lexsort((node, side))  # a component's smallest place in a segment is its smallest node there
+    code, node, side = code[order], node[order], side[order]
+    union, cut = Union(len(code)), int(np.searchsorted(side, 1))
+    if cut == len(code):
+        index = GrayIndex(code)
+        walk(index, index, bits, union)
+    elif cut:
+        height = max(GrayIndex(x).height for x in (code[:cut], code[cut:]))
+        walk(GrayIndex(code[:cut], height), GrayIndex(code[cut:], height), bits, union, cut)
+    linked = np.flatnonzero(union.label != np.arange(len(code)))
+    return node[linked], node[union.label[linked]]
+
+
+def fingerprint_links(nodes: DataFrame, bits: int, largest: int = 500_000, parts: int = 8) -> DataFrame:
     """Links (a, b) that connect the nodes within ``bits`` differing bits as all such pairs would.
 
-    ``nodes``: distinct ``fp`` with a ``node`` id each.
+    ``nodes``: distinct ``fp`` with a ``node`` id each.  Segments of Gray ranks have about
+    ``largest`` nodes at most, and there are at least ``parts``.  What the driver gathers is two
+    patterns a segment.
     """
-    keyed = nodes.select("fp", "node", F.explode(F.array(*block_keys(F.col("fp"), bits))).alias("key"))
-    runs = split_hot(keyed, "key", "fp", most)
-
-    def star(code: np.ndarray, node: np.ndarray, pairs) -> pa.RecordBatch:
-        order = np.argsort(node, kind="stable")  # so that a label's smallest index is its smallest node
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        union = Union(len(node))
-        for i, j in pairs:
-            union.add(place[i], place[j])
-        linked = np.flatnonzero(union.label != np.arange(len(node)))
-        sorted_nodes = node[order]
-        return pa.record_batch([pa.array(sorted_nodes[linked]), pa.array(sorted_nodes[union.label[linked]])], names=["a", "b"])
+    ranked = nodes.select("fp", "node", rank_of(F.col("fp")).alias("rank"))
+    n = nodes.count()
+    parts = max(parts, -(-n // largest))
+    edges = np.unique(ranked.approxQuantile("rank", [k / parts for k in range(1, parts)], 0.1 / parts)) if n else np.zeros(0)
 
-    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        code, node = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy()
-        yield star(code, node, GrayIndex(code).links(bits))
+    @F.arrow_udf("int")
+    def segment_of(rank: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(edges, rank.to_numpy().astype(float), side="right"), pa.int32())
 
-    def many(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
-        code, node = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy()
-        run = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(code)]])))
-
-        def pairs():
-            for d in range(1, 32):
-                i = np.flatnonzero(run[:-d] == run[d:]) if d < len(run) else np.zeros(0, int)
-                if not len(i):
-                    break
-                i = i[np.bitwise_count(code[i] ^ code[i + d]) <= bits]
-                yield i, i + d
-
-        got = [(i, j) for i, j in pairs() if len(i)]
-        if not got:
-            return None
-        a, b = node[np.concatenate([i for i, _ in got])], node[np.concatenate([j for _, j in got])]
-        return pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+    cut = materialize(ranked.select("fp", "node", segment_of("rank").alias("segment")), "segments")
+    found = cut.groupBy("segment").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros")).collect()
+    names = np.array([r["segment"] for r in found], np.int64)
+    ones, zeros = (np.array([r[c] for r in found], np.int64).view(np.uint64) for c in ("ones", "zeros"))
+
+    def partners(segment: int) -> np.ndarray:
+        at = int(np.flatnonzero(names == segment)[0])
+        return names[np.bitwise_count((ones[at] & zeros) | (zeros[at] & ones)) <= bits]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = batch.column("segment").to_numpy()
+            for segment in np.unique(mine):
+                rows = batch.filter(pa.array(mine == segment))
+                for other in partners(segment).tolist():
+                    pair = min(segment, other) * len(edges) * 2 + max(segment, other)
+                    yield pa.record_batch([rows.column("fp"), rows.column("node"), pa.array(np.full(len(rows), segment > other, np.int32)), pa.array(np.full(len(rows), pair, np.int64))], names=["fp", "node", "side", "pair"])
+
+    def link(table: pa.Table) -> pa.Table:
+        a, b = segment_links(table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy(), table.column("side").to_numpy(), bits)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cut.mapInArrow(deal, "fp long, node long, side int, pair long").groupBy("pair").applyInArrow(link, "a long, b long")
+
+
+def rank_of(fp: Column) -> Column:
+    """Gray rank of a signed code, shifted so that signed order is rank order."""
+
+    @F.arrow_udf("long")
+    def rank(column: pa.Array) -> pa.Array:
+        return pa.array((gray_rank(column.to_numpy().view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64))
 
-    return per_run(runs.select("run", "fp", "node"), found, "a long, b long", many)
+    return rank(fp)
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 4, bits: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", most: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 4, bits: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", **segments: int) -> DataFrame:
     """One row per document: doc_id, fp (signed 64-bit fingerprint), component_id.
 
     ``component_id`` is the smallest doc_id reachable over links of at most ``bits`` differing
@@ -179,7 +224,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, bits: int = 4, seed
     """
     prints = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), shingle_words, seed).alias("fp")), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "fingerprint-nodes")
-    parts = connected_components(fingerprint_links(nodes, bits, most))
+    parts = connected_components(fingerprint_links(nodes, bits, **segments))
     named = materialize(nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "fingerprint-components")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
