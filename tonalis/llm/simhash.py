@@ -175,7 +175,7 @@ def fingerprint_links(nodes: DataFrame, bits: int, largest: int = 500_000, parts
     ranked = nodes.select("fp", "node", rank_of(F.col("fp")).alias("rank"))
     n = nodes.count()
     parts = max(parts, -(-n // largest))
-    edges = np.unique(ranked.approxQuantile("rank", [k / parts for k in range(1, parts)], 0.1 / parts)) if n else np.zeros(0)
+    edges = np.unique(ranked.approxQuantile("rank", [k / parts for k in range(1, parts)], 0.1 / parts)) if n and parts > 1 else np.zeros(0)
 
     @F.arrow_udf("int")
     def segment_of(rank: pa.Array) -> pa.Array:
@@ -196,7 +196,7 @@ def fingerprint_links(nodes: DataFrame, bits: int, largest: int = 500_000, parts
             for segment in np.unique(mine):
                 rows = batch.filter(pa.array(mine == segment))
                 for other in partners(segment).tolist():
-                    pair = min(segment, other) * len(edges) * 2 + max(segment, other)
+                    pair = min(segment, other) * (len(edges) + 1) + max(segment, other)
                     yield pa.record_batch([rows.column("fp"), rows.column("node"), pa.array(np.full(len(rows), segment > other, np.int32)), pa.array(np.full(len(rows), pair, np.int64))], names=["fp", "node", "side", "pair"])
 
     def link(table: pa.Table) -> pa.Table:
