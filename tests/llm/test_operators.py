@@ -153,9 +153,24 @@ def test_top_k_equals_brute_force(spark):
     assert got == sorted(want, key=str)
     small = tuples(topk.top_k(df, every=50, k=5, block=3), "query_id", "rank", "vec_id", "score")
     assert small == got
+    assert tuples(topk.top_k(df, every=50, k=5, hold_bytes=1), "query_id", "rank", "vec_id", "score") == got
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    """Whole-number products beyond what doubles hold; the smaller of two rows with one id is asked; saturated scores."""
+    rng = np.random.default_rng(6)
+    X = [[float(v) for v in x] for x in rng.standard_normal((60, 8)) * 2.0 ** rng.integers(0, 24, (60, 1))]
+    X[0], X[7], X[8] = [70000.0, 1.0] + [0.0] * 6, [1e200] * 8, [-1e200] * 8
+    rows = [(i, x) for i, x in enumerate(X)] + [(50, [1.0] * 8)]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    Q = [(i, [int(np.floor(256 * v)) for v in x]) for i, x in rows]
+    for q in (0, 50):
+        asked = min((np.array(v, "<f8").tobytes(), v) for i, v in Q if i == q)[1]
+        s = [(max(topk.LEAST, min(topk.MOST, sum(a * b for a, b in zip(asked, v)))), i) for i, v in Q if i != q]
+        assert [got[q, r + 1] for r in range(5)] == [(i, x) for x, i in sorted(s, key=lambda x: (-x[0], x[1]))[:5]]
+
+
 # ---------------------------------------------------------------- 4 packing
 
 
@@ -315,6 +330,8 @@ def test_warc_round_trip(spark):
     assert got == sorted(want, key=str)
     bounded = {r["page_id"]: r["record_type"] for r in warc.round_trip(pages.where("page_id is not null"), 2, chunk_bytes=1000).collect()}
     assert set(bounded.values()) == {"response"}
+    copies = spark.createDataFrame([(i, None, "z" * 5_000_000 if i % 3 else str(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r["page_id"]: (r["payload_bytes"], r["refers_to"]) for r in warc.round_trip(copies).collect()} == {i: (5_000_000 if i % 3 else len(str(i)), 1 if i % 3 and i > 1 else None) for i in range(12)}
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
@@ -402,7 +419,7 @@ def brute_verdict(url, rules):
 
 
 def test_urls_equal_brute_force(spark):
-    urls = [None, "", "no scheme", "http://", "http://a.Example.ORG/es/x?y#z", "http://example.org/en/1", "http://example.org/en/2", "https://xexample.org/es/", "http://org/", "http://b.com/de/", "http://com/fr/x", "ftp://COM", "http://a..com/de/", "http://x.com?/de/", "http://h/a://b.com/de/", "http://.org/"]
+    urls = [None, "", "no scheme", "http://", "http://a.Example.ORG/es/x?y#z", "http://example.org/en/1", "http://example.org/en/2", "https://xexample.org/es/", "http://org/", "http://b.com/de/", "http://com/fr/x", "ftp://COM", "http://a..com/de/", "http://x.com?/de/", "http://h/a://b.com/de/", "http://.org/", "http://" + "l." * 8000 + "example.org/es/" + "p" * 20_000]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] + [(None, urls[4], "")], "page_id long, url string, keys string")
     got = tuples(url_filter.judge(pages, queries.RULES), "page_id", "host", "path", "rule", "verdict")
     assert got == sorted([(i, *brute_verdict(u, queries.RULES)) for i, u in [*enumerate(urls), (None, urls[4])]], key=str)

@@ -7,11 +7,15 @@ dev_x), which bounds the squared distance from below; both terms are small matri
 Pairs whose bound stays below the query's k-th best score so far are dropped at the coarsest
 level that rules them out; survivors get the exact integer product.
 
-Queries come in blocks of at most ``block`` rows, which bounds what is broadcast; each block
-goes over all candidates, and a task keeps only k rows per query.  A query row is no candidate
-of itself (rows with its id).  Ties go to the smaller id.  Vectors that are null, empty or hold
-null, non-finite or overly large components (integers beyond 2**24) take no part; vectors of
-other lengths than the query are no candidates.  Repeated query rows are answered once.
+Queries are written to the shared folder in blocks of about ``block`` rows.  A task holds a
+bounded part of its candidates in memory at a time and reads the blocks one after the other, so
+neither the driver nor a task ever has all queries or all candidates; k rows per query and part
+are left over, of which the best k are taken.  A query row is no candidate of itself (rows with
+its id).  Ties go to the smaller id.  Vectors that are null, empty or hold null or non-finite
+components take no part; vectors of other lengths than the query are no candidates.  Scores are
+exact: where squared lengths leave the range in which doubles hold all integers, products are
+taken in whole numbers, and scores beyond 64 bits are given as the nearest 64-bit number.  Of
+query rows that repeat an id the one whose packed vector sorts first is asked.
 """
 
 from __future__ import annotations
@@ -20,26 +24,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import new_path
 
-LARGEST = 1 << 24
+#: Squared lengths up to which products and their partial sums are exact in doubles.
+EXACT = 2.0**52
+LEAST, MOST = -(1 << 63) + 2, (1 << 63) - 1
 
 
-def quantised(vectors: pa.Array, scale: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Positions of the vectors that take part, and their integers."""
-    where, out = [], []
-    for i, v in enumerate(vectors.to_pylist()):
-        if v and None not in v:
-            x = np.array(v, np.float64)
-            if np.isfinite(x).all():
-                x = np.floor(scale * x)
-                if np.abs(x).max() <= LARGEST:
-                    where.append(i)
-                    out.append(x)
-    return np.array(where, np.int64), out
+def quantiser(scale: float):
+    """Column function: array -> packed doubles that hold its integers; null if the vector takes no part."""
+
+    @F.arrow_udf("binary")
+    def pack(vectors: pa.Array) -> pa.Array:
+        out = []
+        for v in vectors.to_pylist():
+            x = np.array(v, np.float64) if v and None not in v else None
+            with np.errstate(over="ignore"):
+                x = None if x is None or not np.isfinite(x).all() else np.floor(scale * x) + 0.0
+            out.append(None if x is None else np.clip(x, -1e300, 1e300).astype("<f8").tobytes())
+        return pa.array(out, pa.binary())
+
+    return pack
+
+
+def unpacked(packed: list[bytes], ids: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vectors and ids by the vectors' length."""
+    size = np.array([len(v) // 8 for v in packed], np.int64)
+    return {int(n): (np.frombuffer(b"".join(packed[i] for i in np.flatnonzero(size == n)), "<f8").reshape(-1, n), ids[size == n]) for n in np.unique(size)}
+
+
+def products(q: np.ndarray, x: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Inner products row by row; those marked ``wide`` in whole numbers."""
+    out = np.zeros(len(q), np.int64)
+    near = np.flatnonzero(~wide)
+    for at in range(0, len(near), 65536):
+        own = near[at : at + 65536]
+        out[own] = np.rint(np.einsum("ij,ij->i", q[own], x[own])).astype(np.int64)
+    for i in np.flatnonzero(wide).tolist():
+        out[i] = max(LEAST, min(MOST, sum(int(a) * int(b) for a, b in zip(q[i].tolist(), x[i].tolist(), strict=True))))
+    return out
 
 
 class Levels:
@@ -50,16 +78,19 @@ class Levels:
         for cut in cuts:
             edges = np.linspace(0, x.shape[1], min(cut, x.shape[1]) + 1).astype(int)
             size = np.diff(edges)
-            sums = np.add.reduceat(x, edges[:-1], axis=1)
-            square = np.add.reduceat(x * x, edges[:-1], axis=1)
-            mean = sums / size
-            dev = np.sqrt(np.maximum(square / size - mean * mean, 0))
+            with np.errstate(all="ignore"):
+                mean = np.add.reduceat(x, edges[:-1], axis=1) / size
+                square = np.add.reduceat(x * x, edges[:-1], axis=1) / size
+                # rounding of the difference is made up for, as deviations only bound
+                dev = np.sqrt(np.maximum(square - mean * mean, 0) + 1e-12 * square)
             self.stats.append(np.concatenate([mean, dev], axis=1) * np.sqrt(np.concatenate([size, size])))
 
 
 def best_of(q: np.ndarray, q_ids: np.ndarray, q_levels: Levels, x: np.ndarray, ids: np.ndarray, cuts: tuple[int, ...], k: int, kept: tuple[np.ndarray, np.ndarray], chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Merge candidates into ``kept`` (scores, ids; k columns, best first) of each query."""
     scores, names = kept
+    with np.errstate(over="ignore"):
+        q_wide = ~((q * q).sum(1) <= EXACT)
     for at in range(0, len(x), chunk):
         part, own = x[at : at + chunk], ids[at : at + chunk]
         levels = Levels(part, cuts)
@@ -67,9 +98,10 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, q_levels: Levels, x: np.ndarray, i
         left = np.ones((len(q), len(part)), bool)
         rows = np.arange(len(q))
         for mine, theirs in zip(q_levels.stats, levels.stats, strict=True):
-            bound = mine[rows] @ theirs.T
-            bound += 1e-9 * np.abs(bound) + 1e-6
-            left[rows] &= bound >= floor[rows, None]
+            with np.errstate(all="ignore"):
+                bound = mine[rows] @ theirs.T
+                bound += 1e-9 * np.abs(bound) + 1e-6
+                left[rows] &= ~(bound < floor[rows, None])  # a bound beyond all numbers drops nothing
             rows = rows[left[rows].any(1)]
             if not len(rows):
                 break
@@ -77,11 +109,12 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, q_levels: Levels, x: np.ndarray, i
         i, j = np.nonzero(left)
         if not len(i):
             continue
-        if len(i) > 0.2 * left.size:
-            exact = (q @ part.T)[i, j]
+        with np.errstate(over="ignore"):
+            wide = ~((part * part).sum(1) <= EXACT)
+        if len(i) > 0.2 * left.size and not wide.any() and not q_wide.any():
+            exact = np.rint((q @ part.T)[i, j]).astype(np.int64)
         else:
-            exact = np.concatenate([np.einsum("ij,ij->i", q[i[s : s + 65536]], part[j[s : s + 65536]]) for s in range(0, len(i), 65536)])
-        exact = np.rint(exact).astype(np.int64)  # integers below 2**53 are exact in doubles
+            exact = products(q[i], part[j], q_wide[i] | wide[j])
         better = exact >= floor[i]
         i, j, exact = i[better], j[better], exact[better]
         touched = np.unique(i)
@@ -99,67 +132,59 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, q_levels: Levels, x: np.ndarray, i
 NONE = np.iinfo(np.int64).min + 1  # its negative is an integer too
 
 
-def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 16_384, cuts: tuple[int, ...] = (4, 16)) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
+def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 16_384, cuts: tuple[int, ...] = (4, 16), hold_bytes: int = 64 << 20) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``.
+
+    ``hold_bytes``: candidates that a task holds at a time.
+    """
     spark: SparkSession = rows.sparkSession
-    table = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    queries = table.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id"])
-    # numbered without a global sort: a place within the partition after those before it
-    placed = materialize(queries.withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()), "queries")
-    sizes = sorted((r["p"], r["n"], r["low"]) for r in placed.groupBy("p").agg(F.count("*").alias("n"), F.min("m").alias("low")).collect())
-    blocks: list[list[tuple[int, int, int]]] = []  # partitions and ranges of m, at most ``block`` rows together
-    room = 0
-    for p, n, low in sizes:
-        at = 0
-        while at < n:
-            if not room:
-                blocks.append([])
-                room = block
-            take = min(room, n - at)
-            blocks[-1].append((p, low + at, low + at + take))
-            at, room = at + take, room - take
-    parts = []
-    for ranges in blocks:
-        one = None
-        for p, low, high in ranges:
-            test = (F.col("p") == p) & (F.col("m") >= low) & (F.col("m") < high)
-            one = test if one is None else one | test
-        got = placed.where(one).select("id", "v").toArrow()
-        parts.append(_against(spark, table, got, k, scale, cuts))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
+    table = rows.select(F.col(id_col).cast("long").alias("id"), quantiser(scale)(F.col(vector_col).cast("array<double>")).alias("v"))
+    queries = table.where((F.pmod("id", F.lit(every)) == 0) & F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
+    folder = new_path(spark, "queries")
+    dealt = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    dealt.write.option("maxRecordsPerFile", block).parquet(folder)
+    files = sorted(spark.read.parquet(folder).inputFiles())
+
+    def asked() -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """The queries by length, a block (or several small files) at a time."""
+        packed, ids = [], []
+        for path in files:
+            fs, name = pyarrow.fs.FileSystem.from_uri(path)
+            with fs.open_input_file(name) as f:
+                got = pq.read_table(f, columns=["id", "v"])
+            packed += got.column("v").to_pylist()
+            ids.append(got.column("id").to_numpy())
+            if len(packed) >= block:
+                yield unpacked(packed, np.concatenate(ids))
+                packed, ids = [], []
+        if packed:
+            yield unpacked(packed, np.concatenate(ids))
+
+    def search(held: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for queries in asked():
+            for size, (q, q_ids) in queries.items():
+                if size not in held:
+                    continue
+                levels = Levels(q, cuts)
+                kept = np.full((len(q), k), NONE), np.full((len(q), k), np.iinfo(np.int64).max)
+                for x, names in held[size]:
+                    kept = best_of(q, q_ids, levels, x, names, cuts, k, kept)
+                i, j = np.nonzero(kept[0] != NONE)
+                yield pa.record_batch([pa.array(q_ids[i]), pa.array(kept[1][i, j]), pa.array(kept[0][i, j])], names=["query_id", "vec_id", "score"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        room = hold_bytes
+        for batch in batches:
+            for size, group in unpacked(batch.column("v").to_pylist(), batch.column("id").to_numpy()).items():
+                held.setdefault(size, []).append(group)
+                room -= group[0].nbytes
+            if room < 0:
+                yield from search(held)
+                held, room = {}, hold_bytes
+        if held:
+            yield from search(held)
+
+    found = table.where("id is not null and v is not null").mapInArrow(walk, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _against(spark: SparkSession, table: DataFrame, queries: pa.Table, k: int, scale: float, cuts: tuple[int, ...]) -> DataFrame:
-    where, vectors = quantised(queries.column("v").combine_chunks(), scale)
-    ids = queries.column("id").to_numpy()[where]
-    by_size = {}
-    for size in {len(v) for v in vectors}:
-        own = [i for i, v in enumerate(vectors) if len(v) == size]
-        by_size[size] = (np.stack([vectors[i] for i in own]).astype(np.float64), ids[own])
-    sent = spark.sparkContext.broadcast(by_size)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent.value
-        levels = {size: Levels(q, cuts) for size, (q, _) in asked.items()}
-        kept = {size: (np.full((len(q), k), NONE), np.full((len(q), k), np.iinfo(np.int64).max)) for size, (q, _) in asked.items()}
-        for batch in batches:
-            where, found = quantised(batch.column(1), scale)
-            own = batch.column(0).to_numpy()[where] if len(where) else np.zeros(0, np.int64)
-            lengths = np.array([len(v) for v in found])
-            for size, (q, q_ids) in asked.items():
-                at = np.flatnonzero(lengths == size)
-                if len(at):
-                    x, names = np.stack([found[i] for i in at]), own[at]
-                    kept[size] = best_of(q, q_ids, levels[size], x, names, cuts, k, kept[size])
-        for size, (_, q_ids) in asked.items():
-            scores, names = kept[size]
-            i, j = np.nonzero(scores != NONE)
-            yield pa.record_batch([pa.array(q_ids[i]), pa.array(names[i, j]), pa.array(scores[i, j])], names=["query_id", "vec_id", "score"])
-
-    return table.mapInArrow(search, "query_id long, vec_id long, score long")
