@@ -2,7 +2,8 @@
 
 Keys are a host suffix joined to a path prefix.  The listed keys are the rules'.  The complete
 key universe is every key that some URL of the corpus could match: each suffix of its host (at
-label borders) joined to each path prefix that is as long as some rule's path.  Level 1 encodes
+label borders, with no more labels than some rule's host) joined to each path prefix that is as
+long as some rule's path; so a very long host or path has no more keys than a short one.  Level 1 encodes
 the listed keys; the universe's keys that pass it without being listed are level 2; listed keys
 that pass level 2 are level 3, and so on until nothing is left over.  For keys of the universe
 the cascade's answer is exact, so URLs are judged without a join.
@@ -73,10 +74,12 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(after, r"^([^/?#]*)", 1), UPPER, LOWER), F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys of a URL that a rule could be: host suffixes with path prefixes of rules' lengths."""
+def keys_of(host: Column, path: Column, lengths: list[int], most_labels: int) -> Column:
+    """All keys of a URL that a rule could be: suffixes of the host with at most as many labels as
+    some rule's host, with path prefixes of rules' lengths."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    count = F.least(F.size(labels), F.lit(most_labels))
+    suffixes = F.transform(F.sequence(F.lit(1), count), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
     starts = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda x: x.isNotNull())
     found = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, p))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(found))
@@ -125,11 +128,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     for verdict, host, path in rules:
         verdicts.setdefault(host + path, verdict)
     lengths = sorted({len(path) for _, _, path in rules})
+    labels = max((host.count(".") + 1 for _, host, _ in rules), default=1)
     host, path = parts(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     if not verdicts:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    keyed = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
+    keyed = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths, labels))
     cascade = build(keyed.select(F.explode("keys").alias("key")).distinct(), sorted(verdicts))
     fits = F.filter("keys", cascade.member)
     ordered = F.array_sort(F.transform(fits, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k"))))
