@@ -30,8 +30,8 @@ from .components import Union, connected_components
 from .runs import per_run, split_hot
 
 
-def packer():
-    """Column function: array -> packed little-endian doubles; null if the vector takes no part."""
+def packer(kind: str):
+    """Column function: array -> packed components of type ``kind``; null if the vector takes no part."""
 
     @F.arrow_udf("binary")
     def pack(vectors: pa.Array) -> pa.Array:
@@ -41,14 +41,15 @@ def packer():
                 out.append(None)
                 continue
             x = np.array(v, np.float64) + 0.0  # -0.0 becomes 0.0
-            out.append(x.astype("<f8").tobytes() if np.isfinite(x).all() and x.any() else None)
+            out.append(x.astype(kind).tobytes() if np.isfinite(x).all() and x.any() else None)
         return pa.array(out, pa.binary())
 
     return pack
 
 
-def unit(packed: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(packed), "<f8").reshape(len(packed), -1)
+def unit(packed: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -162,10 +163,13 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     filter beyond which it is split.
     """
     spark: SparkSession = rows.sparkSession
-    packed = materialize(rows.select(F.col(id_col).cast("long").alias("vec_id"), packer()(F.col(vector_col).cast("array<double>")).alias("packed")).withColumn("key", F.sha2("packed", 256)), "vectors")
+    element = getattr(rows.schema[vector_col].dataType, "elementType", None)
+    kind = "<f4" if element is not None and element.typeName() == "float" else "<f8"  # floats stay floats, as doubles hold them exactly
+    width_bytes = int(kind[-1])
+    packed = materialize(rows.select(F.col(id_col).cast("long").alias("vec_id"), packer(kind)(F.col(vector_col).cast("array<double>")).alias("packed")).withColumn("key", F.sha2("packed", 256)), "vectors")
     ids = packed.select("vec_id", "key")
     classes = materialize(packed.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"), F.first("packed").alias("packed")), "classes")
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy((F.length("packed") / 8).cast("int").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy((F.length("packed") / width_bytes).cast("int").alias("dim")).agg(F.count("*").alias("n")).collect()}
     plans = {dim: tuned(n, dim, cosine, wanted, least, seed=seed) for dim, n in sizes.items()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,11 +177,11 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
             vectors = batch.column(2).to_pylist()
             groups: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
-                groups.setdefault(len(v) // 8, []).append(i)
+                groups.setdefault(len(v) // width_bytes, []).append(i)
             for dim, own in groups.items():
                 width, sds, at_least = plans[dim]
                 code = built_once(("caps", dim, width, seed), lambda dim=dim, width=width: Code(dim, width, seed))
-                found = code.decode(unit([vectors[i] for i in own]), sds / math.sqrt(dim), at_least)
+                found = code.decode(unit([vectors[i] for i in own], kind), sds / math.sqrt(dim), at_least)
                 yield pa.record_batch([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), batch.column(2).take(pa.array(own)), pa.array([dim] * len(own), pa.int32()), pa.array([f.tolist() for f in found], pa.list_(pa.int64()))], names=["node", "size", "packed", "dim", "filters"])
 
     decoded = classes.select("node", "size", "packed").mapInArrow(decode, "node long, size long, packed binary, dim int, filters array<long>")
@@ -189,7 +193,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
         order = np.argsort(node, kind="stable")
         node, filters = node[order], table.column("filters").to_pylist()
         vectors = table.column("packed").to_pylist()
-        counts, union = links_in_run(unit([vectors[i] for i in order]), table.column("size").to_numpy()[order], [np.array(filters[i]) for i in order], table.column("filter")[0].as_py(), table.column("chunk").to_numpy()[order], cosine)
+        counts, union = links_in_run(unit([vectors[i] for i in order], kind), table.column("size").to_numpy()[order], [np.array(filters[i]) for i in order], table.column("filter")[0].as_py(), table.column("chunk").to_numpy()[order], cosine)
         keep = np.flatnonzero((counts > 0) | (union.label != np.arange(len(node))))
         yield pa.record_batch([pa.array(node[keep]), pa.array(node[union.label[keep]]), pa.array(counts[keep])], names=["a", "b", "n"])
 
