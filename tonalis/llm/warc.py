@@ -93,12 +93,27 @@ class ArchiveWriter:
             self.out = None
 
 
+NO_ID = -(1 << 63)  # stands for a null page_id in joins; a page with this id counts as one without
+
+
+def known_id(column: str):
+    return F.when(F.col(column) != NO_ID, F.col(column))
+
+
 def chunk_table(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = 1 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The chunked record table: page_id, url, digest (hex), size, first, chunk_no, chunks, chunk."""
+    """The chunked record table: page_id, url, digest (hex), size, first, chunk_no, chunks, chunk.
+
+    ``first`` is null for payloads that no other page has.  Pages with equal payloads meet only as
+    narrow rows; the bodies are joined to the decisions by page, unsorted, so that many copies of
+    a large payload don't go to one task.
+    """
     body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("body")).withColumn("digest", F.sha1("body")).withColumn("size", F.octet_length("body").cast("long"))
-    firsts = materialize(rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first")), "warc-firsts")
-    rows = rows.join(firsts, ["digest", "size"], "left")
+    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("page_id"), F.col(url_col).alias("url"), body.alias("body")).withColumn("digest", F.sha1("body")).withColumn("size", F.octet_length("body").cast("long"))
+    # decided on narrow rows alone; equal payloads meet again only page by page
+    narrow = materialize(rows.select("page_id", "digest", "size").where(F.col("size") >= min_bytes).distinct(), "warc-pages")
+    firsts = narrow.groupBy("digest", "size").agg(F.min(known_id("page_id")).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    decided = materialize(narrow.join(firsts, ["digest", "size"]), "warc-firsts")
+    rows = rows.join(decided.hint("shuffle_hash"), ["page_id", "digest", "size"], "left").withColumn("page_id", known_id("page_id"))
     n = F.greatest(F.ceil(F.col("size") / chunk_bytes), F.lit(1)).cast("int")
     starts = F.sequence(F.lit(0), n - 1)
     return rows.select("page_id", "url", "digest", "size", "first", n.alias("chunks"), "body", F.explode(starts).alias("chunk_no")).withColumn("chunk", F.substring(F.col("body"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))).drop("body")
