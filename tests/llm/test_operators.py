@@ -222,6 +222,31 @@ def test_small_plans_are_optimal(lengths):
     assert all(sum(k * v for k, v in p.items()) <= 10 for p, _ in got)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 30), st.dictionaries(st.integers(1, 12), st.integers(1, 4), min_size=1, max_size=5))
+def test_fillings_have_the_least_waste(rest, left):
+    sums = {0}
+    for length, n in left.items():
+        sums = {s + k * length for s in sums for k in range(n + 1) if s + k * length <= rest}
+    got = packing.complete(rest, sorted(left), left)
+    assert all(n <= left[k] for k, n in got.items()) and sum(k * n for k, n in got.items()) == max(sums)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_of_many_pieces(seed):
+    """Instances whose pieces were cut from full sequences, so that the bound can be met; and a bound above the tokens'."""
+    rng = random.Random(seed)
+    lengths = []
+    for _ in range(40 + 400 * (seed % 2)):
+        cuts = sorted(rng.sample(range(1, 100), rng.randrange(1, 4)))
+        lengths += [b - a for a, b in zip([0, *cuts], [*cuts, 100])]
+    got = packing.plan(dict(Counter(lengths)), 100)
+    assert Counter({k: sum(p.get(k, 0) * n for p, n in got) for k in set(lengths)}) == Counter(lengths)
+    assert all(sum(k * v for k, v in p.items()) <= 100 for p, _ in got)
+    assert sum(lengths) // 100 <= sum(n for _, n in got) <= sum(lengths) // 100 + 1
+    assert packing.lower_bound({60: 10, 50: 3, 30: 4}, 100) == 12
+
+
 def test_fillings_mix_counts_of_a_length():
     histogram = {2096: 1000, 800: 1000, 600: 2000}
     got = packing.plan(histogram, 4096)

@@ -8,9 +8,9 @@ and yields patterns, each with the number of sequences filled that way.
 Bin completion: take the largest length left; enumerate the fillings of the rest of its
 sequence that no other filling dominates, larger documents first, pruned once the waste can't
 get below the best so far; the first incumbent is the best-fit filling.  A filling is applied to
-as many sequences as its lengths allow.  Another incumbent for the whole is best-fit decreasing;
-the plan with fewer sequences is taken, and if it meets the bound ceil(tokens / capacity) it is
-optimal.  Small instances above the bound are searched by branch and bound over whole plans.
+as many sequences as its lengths allow.  Another incumbent for the whole is best-fit decreasing.
+Incumbents above the lower bound are improved by branch and bound over whole plans, which tries
+``tries`` fillings before it gives up; a plan that meets the bound is optimal.
 
 Pieces get a place within their length (by task, then within the task) and read their sequence
 and offset from the patterns.  The tokenised table is written once, so places never change.
@@ -226,62 +226,119 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     return [(pattern, count) for groups in rooms.values() for pattern, count in groups]
 
 
-def exact_plan(lengths: list[int], capacity: int, most: int, tries: int = 200_000) -> list[list[int]] | None:
-    """Branch and bound for a few pieces: a packing into fewer than ``most`` sequences, or None.
-
-    The largest piece left opens each sequence; its fillings are enumerated without dominated
-    ones, and a branch ends once its waste exceeds what fewer sequences allow.
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that no packing can do without (Martello and Toth): for each limit, pieces with a
+    room too small for any piece from the limit on stand alone, and the rest fills the others' rooms."""
+    lengths = np.array(sorted(histogram), np.int64)
+    n = np.array([histogram[k] for k in lengths.tolist()], np.int64)
+    if not len(lengths):
+        return 0
+    tokens, best = int(lengths @ n), 0
+    count, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * lengths)])
+    below = lambda x, side="left": int(np.searchsorted(lengths, x, side))
+    half = below(capacity / 2, "right")  # from here on longer than half a sequence
+    for limit in [0, *lengths[:half].tolist()]:
+        alone, low = below(capacity - limit, "right"), below(limit)
+        big = int(count[-1] - count[half])
+        rooms = (alone - half) and capacity * int(count[alone] - count[half]) - int(total[alone] - total[half])
+        rest = int(total[half] - total[low]) - max(0, rooms)
+        best = max(best, big + max(0, -(-rest // capacity)))
+    return max(best, -(-tokens // capacity))
+
+
+def exact_plan(histogram: dict[int, int], capacity: int, most: int, tries: int = 100_000) -> list[Pattern] | None:
+    """Branch and bound over whole plans: one of fewer than ``most`` sequences, or None.
+
+    The largest length left opens each sequence.  Its undominated fillings are enumerated on the
+    histogram, least waste first, as many sequences at once as the lengths allow and then fewer;
+    a branch ends once its waste exceeds what fewer sequences allow, and the search after
+    ``tries`` fillings.
     """
-    allowed = (most - 1) * capacity - sum(lengths)
+    lengths = sorted(histogram, reverse=True)
+    left = [histogram[k] for k in lengths]
+    allowed = (most - 1) * capacity - sum(k * v for k, v in histogram.items())
     nodes = 0
 
-    def fillings(rest: int, pool: list[int], at: int):
-        seen = set()
-        for i in range(at, len(pool)):
-            if pool[i] <= rest and pool[i] not in seen:
-                seen.add(pool[i])
-                for more in fillings(rest - pool[i], pool, i + 1):
-                    yield [i, *more]
-        if not any(x <= rest for x in pool[at:]):
-            yield []
-
-    def search(pool: list[int], waste: int) -> list[list[int]] | None:
+    def fillings(rest: int, at: int, spare: int) -> Iterator[list[tuple[int, int]]]:
+        """Fillings by lengths from index ``at`` on with a waste of at most ``spare``."""
         nonlocal nodes
-        if not pool:
-            return []
-        options = []
-        for fill in fillings(capacity - pool[0], pool[1:], 0):
-            nodes += 1
-            if nodes > tries:
-                break
-            spare = capacity - pool[0] - sum(pool[1 + i] for i in fill)
-            if waste + spare <= allowed:
-                options.append((spare, fill))
-        for spare, fill in sorted(options, key=lambda x: x[0]):
-            used = {0, *(1 + i for i in fill)}
-            rest = search([x for i, x in enumerate(pool) if i not in used], waste + spare)
-            if rest is not None:
-                return [[pool[i] for i in sorted(used)], *rest]
-            if nodes > tries:
-                return None
-        return None
+        none = True
+        for i in range(at, len(lengths)):
+            if not left[i] or lengths[i] > rest:
+                continue
+            none = False
+            for n in range(min(left[i], rest // lengths[i]), 0, -1):
+                nodes += 1
+                if nodes > tries:
+                    return
+                for more in fillings(rest - n * lengths[i], i + 1, spare):
+                    yield [(i, n), *more]
+        if none and rest <= spare:
+            yield []
 
-    return search(sorted(lengths, reverse=True), 0) if allowed >= 0 else None
+    def dominated(fill: list[tuple[int, int]], waste: int) -> bool:
+        """Whether another document would fit."""
+        used = dict(fill)
+        low = bisect.bisect_left(lengths, -waste, key=lambda x: -x)
+        return any(left[i] > used.get(i, 0) for i in range(low, len(lengths)))
 
+    plan: list[Pattern] = []
+    # a stack of its own, as plans are deeper than Python's recursion
+    stack: list[tuple] = []
 
-def plan(histogram: dict[int, int], capacity: int, small: int = 60) -> list[Pattern]:
-    """The patterns for a histogram of lengths."""
-    tokens = sum(k * v for k, v in histogram.items())
-    bound = -(-tokens // capacity)
+    def options(waste: int):
+        top = next((i for i, v in enumerate(left) if v), None)
+        if top is None:
+            return None
+        left[top] -= 1
+        spare = allowed - waste
+        found = []
+        for f in fillings(capacity - lengths[top], top, spare):
+            w = capacity - lengths[top] - sum(n * lengths[i] for i, n in f)
+            if not dominated(f, w):
+                found.append((w, [(top, 1 + f[0][1]), *f[1:]] if f and f[0][0] == top else [(top, 1), *f]))
+        left[top] += 1
+        found = [f for _, f in sorted(found, key=lambda x: x[0])]
+        return iter([(f, t) for f in found for t in {min(left[i] // n for i, n in f), 1} if t > 0])
+
+    if allowed < 0:
+        return None
+    waste, now = 0, options(0)
+    while now is not None and nodes <= tries:
+        step = next(now, None)
+        if step is None:
+            if not stack:
+                return None
+            now, fill, times, waste = stack.pop()
+            for i, n in fill:
+                left[i] += n * times
+            plan.pop()
+            continue
+        fill, times = step
+        spare = capacity - sum(n * lengths[i] for i, n in fill)
+        if spare:
+            times = min(times, (allowed - waste) // spare)
+        if times <= 0:
+            continue
+        stack.append((now, fill, times, waste))
+        for i, n in fill:
+            left[i] -= n * times
+        plan.append(({lengths[i]: n for i, n in fill}, times))
+        waste += spare * times
+        now = options(waste)
+    return plan if now is None else None
+
+
+def plan(histogram: dict[int, int], capacity: int, **limits: int) -> list[Pattern]:
+    """The patterns for a histogram of lengths: the better incumbent, improved by branch and bound until
+    the lower bound is met or its ``tries`` end."""
+    bound = lower_bound(histogram, capacity)
     count = lambda p: sum(n for _, n in p)
     best = min((best_fit_plan(histogram, capacity), completion_plan(histogram, capacity, mixed=False)), key=count)
     if bound < count(best):
         best = min((best, completion_plan(histogram, capacity)), key=count)
-    if bound < count(best) and sum(histogram.values()) <= small:
-        while (better := exact_plan([k for k, v in histogram.items() for _ in range(v)], capacity, count(best))) is not None:
-            best = [({x: one.count(x) for x in set(one)}, 1) for one in better]
-            if count(best) == bound:
-                break
+    while bound < count(best) and (better := exact_plan({k: v for k, v in histogram.items() if v}, capacity, count(best), **limits)) is not None:
+        best = better
     return best
 
 
@@ -312,18 +369,21 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     histogram = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     sent = spark.sparkContext.broadcast(pickle.dumps(slots(plan(histogram, capacity))))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def assign(pieces: pa.Table, places: pa.Table) -> pa.Table:
+        """The pieces of one task, with the places where its lengths begin."""
         by_length = pickle.loads(sent.value)
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for value in np.unique(length):
-                at = np.flatnonzero(length == value)
-                rows = by_length[int(value)]
-                row = rows[np.searchsorted(rows[:, 0], rank[at], side="right") - 1]
-                copy, which = np.divmod(rank[at] - row[:, 0], row[:, 1])
-                sequence[at], offset[at] = row[:, 2] + copy, row[:, 3] + which * value
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    ranked = table.join(offsets.select("length", "task", "first"), ["length", "task"]).withColumn("rank", F.col("first") + F.col("place"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        first = np.zeros(capacity + 1, np.int64)
+        first[places.column("length").to_numpy()] = places.column("first").to_numpy()
+        length = pieces.column("length").to_numpy()
+        rank = first[length] + pieces.column("place").to_numpy()
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        for value in np.unique(length):
+            at = np.flatnonzero(length == value)
+            rows = by_length[int(value)]
+            row = rows[np.searchsorted(rows[:, 0], rank[at], side="right") - 1]
+            copy, which = np.divmod(rank[at] - row[:, 0], row[:, 1])
+            sequence[at], offset[at] = row[:, 2] + copy, row[:, 3] + which * value
+        return pieces.drop_columns(["task", "place"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    # both sides have as many rows a key as a task has pieces, which its share of the texts bounds
+    return table.groupBy("task").cogroup(offsets.select("task", "length", "first").groupBy("task")).applyInArrow(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
