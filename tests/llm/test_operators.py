@@ -419,7 +419,11 @@ def test_counts_equal_the_library(docs, none):
         n = len(sp.encode(TEXTS[i] or ""))
         want.append((i, len((TEXTS[i] or "").encode()), n, n > 5))
     assert got == sorted(want, key=str)
+    for head in (0, 3):  # the shuffled join alone, and both ways
+        assert tuples(piece_counts.count_tokens(docs, path, limit=5, head=head), "doc_id", "n_bytes", "n_tokens", "over_limit") == got
     assert piece_counts.count_tokens(none, path).count() == 0
+    table = piece_counts.piece_table(docs, piece_counts.broadcast_file(docs.sparkSession, path)).toPandas()
+    assert table.pre.is_unique and set(table.pre) == {p for t in TEXTS for p in piece_counts.frequencies(t or "")}
 
 
 @settings(max_examples=150, deadline=None)

@@ -3,11 +3,17 @@
 The model's text has a space before it and spaces turned into a mark that only starts
 pieces; so no piece spans the border between another character and a space.  Line feeds
 are in no piece either.  Both borders cut a text into pre-tokens whose pieces do not
-depend on their surroundings: each distinct pre-token is counted once, and a document's
-count is the sum of its pre-token frequencies times those counts.
+depend on their surroundings.
 
-Null text counts as empty and has no tokens.  Models whose pieces could cross a border
-(or that rewrite their text) are counted by encoding whole texts.
+The corpus's distinct pre-tokens are gathered by a distributed aggregation and each is counted
+once; a document's count is the sum of its pre-token frequencies times those counts.  The
+``head``, a bounded number of the most frequent pre-tokens, is sent to all tasks and joined to a
+document's frequencies where its text is read; every other pre-token goes through a shuffled
+join.  None of those is frequent, so the join has no hot key, and few rows are shuffled.
+
+Null text counts as empty and has no tokens; repeated rows are counted each; very long texts and
+pre-tokens are taken whole; an empty table gives no rows.  Models whose pieces could cross a
+border (or that rewrite their text) are counted by encoding whole texts.
 """
 
 from __future__ import annotations
@@ -15,13 +21,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, broadcast_file, built_once, strings
+from .common import Memo, broadcast_file, built_once, materialize, strings
 
 MARK = "▁"
 #: A run of spaces with what follows, or a line feed with what follows.
@@ -53,10 +62,15 @@ class PieceCounter:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if not self.splits or MARK in text:
+        if not self.splits:
             return len(self.model.encode(text, num_threads=1))
         counts = self.counts
-        return sum(n * counts[pre] for pre, n in Counter(PRE_TOKEN.findall(" " + text)).items())
+        return sum(n * counts[pre] for pre, n in frequencies(text).items())
+
+
+def frequencies(text: str) -> Counter:
+    """A text's pre-tokens; the mark itself is a space to the model."""
+    return Counter(PRE_TOKEN.findall(" " + text.replace(MARK, " "))) if text else Counter()
 
 
 def counter(spark: SparkSession, model_path: str):
@@ -72,8 +86,73 @@ def counter(spark: SparkSession, model_path: str):
     return count
 
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (n_tokens > limit)."""
-    count = counter(docs.sparkSession, model_path)
-    out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), count(F.col(text_col)).alias("n_tokens"))
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+def distinct_pre_tokens(texts: DataFrame, flush: int = 200_000) -> DataFrame:
+    """pre, n: the pre-tokens of all rows of ``texts`` (column ``text``) and how often they occur."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pre", "n"])
+
+        for batch in batches:
+            for text in strings(batch.column(0)):
+                seen.update(PRE_TOKEN.findall(" " + text.replace(MARK, " ")) if text else ())
+                if len(seen) > flush:
+                    yield out()
+                    seen.clear()
+        yield out()
+
+    return texts.select("text").mapInArrow(gather, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
+
+
+def piece_table(texts: DataFrame, model) -> DataFrame:
+    """pre, n, pieces: each distinct pre-token counted once."""
+
+    @F.arrow_udf("long")
+    def pieces(pre: pa.Array) -> pa.Array:
+        data = model.value
+        c = built_once(("pieces", hashlib.sha1(data).digest()), lambda: PieceCounter(data))
+        return pa.array([c._count(x) for x in pre.to_pylist()], pa.int64())
+
+    return materialize(distinct_pre_tokens(texts).withColumn("pieces", pieces("pre")), "pieces-of")
+
+
+def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", head: int = 100_000, head_chars: int = 64) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (n_tokens > limit).
+
+    ``head``: pre-tokens of at most ``head_chars`` characters that are sent to all tasks.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
+    model = broadcast_file(spark, model_path)
+    if not PieceCounter(model.value).splits:
+        counted = texts.select("doc_id", "n_bytes", counter(spark, model_path)("text").alias("n_tokens"))
+        return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    table = piece_table(texts, model)
+    known = table.where(F.char_length("pre") <= head_chars).orderBy(F.desc("n"), "pre").limit(head).select("pre", "pieces").toArrow()
+    sent = spark.sparkContext.broadcast(dict(zip(known.column("pre").to_pylist(), known.column("pieces").to_pylist(), strict=True)))
+
+    def join_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, row = sent.value.get, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            total, pre, times = [], [], []
+            for text in strings(batch.column("text")):
+                n, rest, often = 0, [], []
+                for x, k in frequencies(text).items():
+                    if (c := get(x)) is None:
+                        rest.append(x), often.append(k)
+                    else:
+                        n += c * k
+                total.append(n), pre.append(rest), times.append(often)
+            columns = [pa.array(np.arange(row, row + len(total))), batch.column("doc_id"), batch.column("n_bytes"), pa.array(total, pa.int64()), pa.array(pre, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["row", "doc_id", "n_bytes", "n", "pre", "times"])
+            row += len(total)
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    # written once, so that rows keep their numbers
+    joined = materialize(texts.mapInArrow(join_head, f"row long, doc_id {kind}, n_bytes long, n long, pre array<string>, times array<long>"), "head-joined")
+    tail = joined.where(F.size("pre") > 0).select("row", F.inline(F.arrays_zip("pre", "times"))).join(table.select("pre", "pieces"), "pre")
+    parts = joined.select("row", "doc_id", "n_bytes", "n").unionByName(tail.select("row", (F.col("times") * F.col("pieces")).alias("n")), allowMissingColumns=True)
+    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
