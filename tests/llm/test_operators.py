@@ -367,13 +367,13 @@ def test_languages_are_told_apart(spark):
     rng = random.Random(4)
     syllables = {"aa": ["ba", "ko", "lu", "mi"], "bb": ["sch", "en", "ung", "tra"], "cc": ["oux", "é", "ille", "que"]}
     rows = [(i, " ".join("".join(rng.choices(syllables[g], k=3)) for _ in range(30)), g, "clash") for i, g in enumerate(rng.choices(list(syllables), k=300))]
-    odd = [(900, None, "aa", ""), (901, "", None, ""), (902, "123 !?", "bb", ""), (903, "ЖЖЖ ЩЩЩ ЫЫЫ ЪЪЪ ЯЯЯ", None, ""), (None, "bako lumi", None, "")]
+    odd = [(900, None, "aa", ""), (901, "", None, ""), (902, "123 !?", "bb", ""), (904, "\u00bd \u2461 \u2167 x\u00b2"[:5], None, ""), (905, "bako lumi " * 60_000, None, ""), (906, "\U00010400\U00010428", None, ""), (903, "ЖЖЖ ЩЩЩ ЫЫЫ ЪЪЪ ЯЯЯ", None, ""), (None, "bako lumi", None, "")]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score string")
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
-    assert len(got) == 305
+    assert len(got) == 308 and got[905]['lang_pred'] == 'aa' and got[906]['rejected'] and got[906]['lang_pred'] in syllables
     assert all(got[i]["lang_pred"] == g for i, _, g, _ in rows)
     assert not any(got[i]["rejected"] for i, *_ in rows)
-    for i in (900, 901, 902):
+    for i in (900, 901, 902, 904):
         assert (got[i]["lang_pred"], got[i]["score"], got[i]["rejected"]) == ("und", 0.0, True)
     assert got[903]["rejected"] and got[903]["lang_pred"] in syllables
     assert all(0 <= r["score"] <= 1 for r in got.values())
@@ -391,18 +391,55 @@ def test_every_language_and_four_gram_is_learned(spark):
     assert model.languages == sorted({r[2] for r in rows})
     scorer = langid.Scorer(model)
     assert all(model.languages[int(scorer.entropy(t).argmin())] == g for _, t, g in rows)
-    want = np.unique(np.concatenate([langid.grams(sorted({w for _, t, _ in rows for w in langid.words(t)}))[0]]))
+    first, rest, _ = langid.grams(sorted({w for _, t, _ in rows for w in langid.words(t)}))
+    want = np.unique(langid.key_of(first, rest, 4))
     assert len(want) > 200_000 and np.array_equal(model.keys[3], want)
 
 
-def test_kneser_ney_probabilities_add_up():
-    key, sizes = langid.grams(["abab", "abba", "bab"])
-    keys, counts = np.unique(key, return_counts=True)
-    m = langid.build(["x"], {"x": (keys, counts)})
-    for context in ("\x01\x01\x01", "\x01ab", "zzz"):
-        symbols = ["a", "b", "\x01", "?"]  # the border ends words; ? stands for the unseen symbol
-        grams = np.array([sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(context + s)) for s in symbols], np.uint64)
-        assert np.exp(m.score(grams)).sum() == pytest.approx(1, abs=1e-5)
+def gram_counts(texts):
+    """Distinct four-grams (first, rest) and their counts."""
+    freq = Counter()
+    for w in (w for t in texts for w in langid.words(t)):
+        first, rest, _ = langid.grams([w])
+        freq.update(zip(first.tolist(), rest.tolist()))
+    return tuple(np.array(x, np.uint64) for x in zip(*freq)) + (np.array(list(freq.values())),)
+
+
+def four_grams(strings):
+    codes = np.array([[ord(c) for c in s] for s in strings], np.uint64)
+    return codes[:, 0], codes[:, 1] << np.uint64(42) | codes[:, 2] << np.uint64(21) | codes[:, 3]
+
+
+def brute_kneser_ney(texts, n_symbols):
+    """Probabilities by the definition, count by count."""
+    padded = ["\x01" * 3 + w + "\x01" for t in texts for w in langid.words(t)]
+    counts = {4: Counter(p[i : i + 4] for p in padded for i in range(len(p) - 3))}
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (n_symbols + 1)
+        same = {g: c for g, c in counts[k].items() if g[:-1] == gram[:-1]}
+        if not same:
+            return p(gram[1:])
+        total = sum(same.values())
+        return max(same.get(gram, 0) - 0.75, 0) / total + 0.75 * len(same) / total * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_probabilities_add_up_and_equal_brute_force():
+    texts = ["abab abba bab", "\U00010448b ab \u0448\U00010448"]  # the last two symbols have the same lower 16 bits
+    m = langid.build(["x", "y"], {"x": gram_counts(texts[:1]), "y": gram_counts(texts)})
+    symbols = ["a", "b", "\x01", "\U00010448", "\u0448"]
+    for column, own in (0, texts[:1]), (1, texts):
+        p = brute_kneser_ney(own, len(symbols))
+        for context in ("\x01\x01\x01", "\x01ab", "zzz", "\x01\u0448\U00010448", "bab"):
+            got = np.exp(m.score(*four_grams([context + s for s in [*symbols, "?"]])))[:, column]
+            assert got == pytest.approx([p(context + s) for s in [*symbols, "?"]], rel=1e-4)
+            assert got.sum() == pytest.approx(1, abs=1e-5)  # ? stands for the unseen symbol
 
 
 # ---------------------------------------------------------------- 8 token counts

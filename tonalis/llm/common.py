@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,18 @@ def held_out(id_col: Column) -> Column:
     return crc_fold(id_col) == 2
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+_RUN = regex.compile(r"\p{L}+")
+_NUMERIC = [chr(x) for x in range(sys.maxunicode + 1) if chr(x).isalnum() and not chr(x).isalpha() and not chr(x).isdecimal()]
+#: Number signs such as fractions, superscripts and Roman numerals: ``re`` takes them for word characters, but they are no letters.
+_SIGN = re.compile(f"[{''.join(_NUMERIC)}]")
+
+
+def letter_runs(text: str) -> list[str]:
+    """All runs of letters (Unicode's L) of a text."""
+    return (_RUN if not text.isascii() and _SIGN.search(text) else _LETTERS).findall(text)
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; null counts as empty."""
     return ["" if x is None else x for x in column.to_pylist()]
