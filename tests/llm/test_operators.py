@@ -81,34 +81,66 @@ def tiktoken_encoding_cached():
 # ---------------------------------------------------------------- 2 toxicity
 
 
-def brute_segments(values, length, drift):
+def brute_segments(s):
     """All maximal segments by their recursive definition."""
-    s = [-drift] * length
-    for i, v in values:
-        s[i] = v
 
     def find(a, b):
-        best, total = (0.0, None), 0.0
+        best = (0, None)
         for i in range(a, b):
-            total = 0.0
+            total = 0
             for j in range(i, b):
                 total += s[j]
-                if total > best[0] + 1e-12:
+                if total > best[0]:
                     best = (total, (i, j + 1))
         if best[1] is None:
             return []
         i, j = best[1]
         return [*find(a, i), (i, j), *find(j, b)]
 
-    return find(0, length)
+    return find(0, len(s))
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.booleans(), st.integers(1, 9)), max_size=25))
-def test_segments_are_the_maximal_ones(tokens):
-    values = [(i, v * 1.37) for i, (on, v) in enumerate(tokens) if on]
-    got = [(s, e) for s, e, _ in toxicity.segments(values, len(tokens), 1.01)]
-    assert got == brute_segments(values, len(tokens), 1.01)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-9, 9), max_size=25))
+def test_segments_are_the_maximal_ones(values):
+    values = [v + (i + 2) ** 0.5 / 1000 for i, v in enumerate(values)]  # no ties between sums
+    got = [(s, e) for s, e, _ in toxicity.segments(np.array(values, float))]
+    want = brute_segments(values)
+    assert got == want
+
+
+def brute_model(texts, labels, strength=2.0, margin=2.0):
+    """Word scores by their definition."""
+    held = [set(re.findall(r"[a-z]+", t)) for t in texts]
+    count = {w: [sum(w in h and y == k for h, y in zip(held, labels)) for k in (0, 1)] for h in held for w in h}
+    total = [sum(c[k] for c in count.values()) for k in (0, 1)]
+    share = total[1] / sum(total)
+    out = {}
+    for w, (c, t) in count.items():
+        a, b = t + strength * share, c + strength * (1 - share)
+        out[w] = np.log(a / b * (1 - share) / share) - margin * (1 / a + 1 / b) ** 0.5
+    return out
+
+
+def test_word_scores_and_passages_equal_brute_force(spark):
+    rng = random.Random(7)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    labels = [int(i % 4 == 0) for i in range(200)]
+    texts = [" ".join(rng.choices(words, k=60) + rng.choices(["vile", "nasty", "wicked"], k=4 if y else 0) + rng.choices(words, k=20)) for y in labels]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
+    want = brute_model(texts, labels)
+    assert model.scores == pytest.approx(want) and min(want.values()) < 0 < max(want.values())
+    scorer = toxicity.Scorer(model)
+    long = " ".join([texts[0]] + [w for t in texts[1:4] for w in t.split()] * 100 + [texts[4]])
+    for text in [*texts[:20], "", "unknown words only", "vile vile vile", long]:
+        values = [want.get(w, model.unseen) for w in text.split()]
+        found = toxicity.segments(np.array(values)) if len(values) > 500 else [(s, e, sum(values[s:e])) for s, e in brute_segments(values)]
+        least = np.log(model.k * max(1, len(values)) / model.significance)
+        expected = [(s, e, model.lam * x - least) for s, e, x in found if model.lam * x > least]
+        got = scorer.passages(text)
+        assert [p[:2] for p in got] == [p[:2] for p in expected] and [p[2] for p in got] == pytest.approx([p[2] for p in expected])
+    assert len(scorer.passages(long)) >= 2  # passages far apart in a very long text are both found
 
 
 def test_toxic_texts_are_found_and_clean_ones_left(spark):

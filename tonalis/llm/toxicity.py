@@ -1,28 +1,27 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Learning: for each word (a run of letters, lower case) the toxic and clean training documents
-that hold it, smoothed by a Dirichlet prior whose mean follows the word's family (words with the
-same first letters) and whose family mean follows the classes' shares, give log-odds less one
-standard deviation.  Words that training never showed have their family's score.  Tokens
-without a score above ``least`` count -``drift``, their own log-odds in toxic and clean text.  A
-word's n-th occurrence in a document counts a n-th of its score, as repeats say little more.
-
-Scoring: one linear scan (Ruzzo and Tompa) finds all maximal-scoring segments.  Under clean
-text, a text's best segment follows an extreme-value law (Karlin and Altschul) whose lambda and
-K come from clean training documents; segments whose expected number in a text of this length
-is below ``significance`` are toxic passages.  Their normalised scores add up to the document's
-statistic, which a logistic curve fitted on training documents turns into a score.
-
-Labels are learned from a bounded sample of labelled rows (``sample``, by hash of the id);
-labels, language, source and id are no inputs of a score.  Null text counts as empty: no
-passage, the score of a text without evidence.  Without both classes all scores are 0.
+that hold it, smoothed by a Dirichlet prior whose mean is the classes' share, give log-odds; a
+token's score is its log-odds less ``margin`` standard deviations, above or below zero.  Words
+that training never showed have the score of the prior alone, which is below zero.
+
+Scoring: one linear scan (Ruzzo and Tompa) over all tokens' scores finds all maximal-scoring
+segments.  Under clean text, a text's best segment follows an extreme-value law (Karlin and
+Altschul) whose lambda and K come from clean training documents; segments whose expected number
+in a text of this length is below ``significance`` are toxic passages.  Their normalised scores
+add up to the document's statistic, which a logistic curve fitted on training documents turns
+into a score.
+
+Labels are learned from a bounded sample of labelled rows (``sample``, by hash of the id; of
+rows that repeat an id one); labels, language, source and id are no inputs of a score.  Null text
+counts as empty: no passage, the score of a text without evidence.  Very long texts are scanned
+whole.  Without both classes all scores are 0.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,17 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import built_once, crc_fold, held_out, strings, struct_array
-
-WORD = re.compile(r"[^\W\d_]+")
-PREFIX = 5
+from .common import built_once, crc_fold, held_out, letter_runs, materialize, strings, struct_array
 
 
 @dataclass
 class Model:
     scores: dict[str, float] = field(default_factory=dict)
-    families: dict[str, float] = field(default_factory=dict)
-    drift: float = 0.5
+    unseen: float = -1.0
     lam: float = 1.0
     k: float = 0.1
     significance: float = 0.2
@@ -50,20 +45,16 @@ class Model:
     slope: float = 0.0
 
 
-def segments(values: list[tuple[int, float]], length: int, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end, score) of a text of ``length`` tokens.
+def segments(values: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (start, end, score) of a text whose tokens score ``values``.
 
-    ``values``: position and score of the tokens above zero; every other token scores -drift.
     Ruzzo and Tompa's scan: each candidate keeps the running total before it and at its end.
     """
     found: list[tuple[int, int, float, float]] = []  # start, end, total before, total at the end
-    total, before = 0.0, 0
-    for at, value in values:
-        total -= drift * (at - before)
-        start, low = at, total
-        total += value
-        before = at + 1
-        high = total
+    totals = np.concatenate([[0.0], np.cumsum(values)])
+    risen = np.flatnonzero(values > 0)
+    for at, before, high in zip(risen.tolist(), totals[risen].tolist(), totals[risen + 1].tolist(), strict=True):
+        start, low = at, before
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
@@ -72,7 +63,7 @@ def segments(values: list[tuple[int, float]], length: int, drift: float) -> list
                 break
             start, low = found[j][0], found[j][2]
             del found[j:]
-        found.append((start, before, low, high))
+        found.append((start, at + 1, low, high))
     return [(s, e, high - low) for s, e, low, high in found]
 
 
@@ -89,16 +80,10 @@ class Scorer:
 
     def maximal(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """The number of tokens and all maximal-scoring segments."""
-        found = WORD.findall(text.lower())
-        get, family, seen, values = self.m.scores.get, self.m.families.get, {}, []
-        for i, w in enumerate(found):
-            v = get(w)
-            if v is None:
-                v = family(w[:PREFIX], 0.0) if len(w) > PREFIX else 0.0
-            if v > 0:
-                seen[w] = n = seen.get(w, 0) + 1
-                values.append((i, v / n))
-        return len(found), segments(values, len(found), self.m.drift) if values else []
+        found = letter_runs(text.lower())
+        get, unseen = self.m.scores.get, self.m.unseen
+        values = np.fromiter((get(w, unseen) for w in found), float, len(found))
+        return len(found), segments(values)
 
     def score(self, x: float) -> float:
         z = self.m.base + self.m.slope * math.log1p(x)
@@ -106,31 +91,42 @@ class Scorer:
 
 
 def document_frequencies(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """Documents of each class that hold a word: word, toxic, clean."""
+    """Documents of each class that hold a word, and how often clean ones have it: word, toxic, clean, times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        seen: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
             w = list(seen[0].keys() | seen[1].keys())
-            yield pa.record_batch([pa.array(w, pa.string()), pa.array([seen[1][x] for x in w], pa.int64()), pa.array([seen[0][x] for x in w], pa.int64())], names=["word", "toxic", "clean"])
-            seen[0].clear(), seen[1].clear()
+            return pa.record_batch([pa.array(w, pa.string()), *(pa.array([seen[k][x] for x in w], pa.int64()) for k in (1, 0, 2))], names=["word", "toxic", "clean", "times"])
 
         for batch in batches:
             for text, label in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                seen[label].update(set(WORD.findall(text.lower())))
+                found = Counter(letter_runs(text.lower()))
+                seen[label].update(found.keys())
+                if not label:
+                    seen[2].update(found)
                 if len(seen[0]) + len(seen[1]) > 200_000:
-                    yield from out()
-        yield from out()
+                    yield out()
+                    for x in seen:
+                        x.clear()
+        yield out()
+
+    counted = docs.select(text_col, F.col(label_col).cast("int")).mapInArrow(count, "word string, toxic long, clean long, times long")
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "times")])
 
-    return docs.select(text_col, F.col(label_col).cast("int")).mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
+def log_odds(toxic: np.ndarray, clean: np.ndarray, share: float, strength: float, margin: float) -> np.ndarray:
+    """Log-odds of words against the classes' ``share``, less ``margin`` standard deviations."""
+    a, b = toxic + strength * share, clean + strength * (1 - share)
+    return np.log(a / b) - math.log(share / (1 - share)) - margin * np.sqrt(1 / a + 1 / b)
 
-def karlin(scores: list[float], chances: list[float], drift: float) -> float:
-    """The positive root of sum p exp(lambda s) = 1 for clean text."""
-    rest = max(0.0, 1 - sum(chances))
-    f = lambda x: sum(p * math.exp(min(60.0, x * s)) for p, s in zip(chances, scores, strict=True)) + rest * math.exp(-x * drift) - 1
+
+def karlin(scores: np.ndarray, times: np.ndarray) -> float:
+    """The positive root of sum p exp(lambda s) = 1 for tokens that occur ``times`` in clean text."""
+    p = times / times.sum()
     low, high = 1e-6, 1.0
+    f = lambda x: float(p @ np.exp(np.minimum(60.0, x * scores))) - 1
     while f(high) < 0 and high < 8:
         high *= 1.5
     for _ in range(60):
@@ -139,61 +135,32 @@ def karlin(scores: list[float], chances: list[float], drift: float) -> float:
     return low
 
 
-def log_odds(freq: DataFrame, share: float, strength: float, hyper: float) -> DataFrame:
-    """word (null for a whole family), family, score, toxic, clean of words with evidence and of families."""
-
-    def lower_bound(a, b):
-        return F.log(a / b) - math.log(share / (1 - share)) - F.sqrt(1 / a + 1 / b)
-
-    words = freq.where(F.char_length("word") > PREFIX).withColumn("family", F.substring("word", 1, PREFIX))
-    families = words.groupBy("family").agg(F.sum("toxic").alias("gt"), F.sum("clean").alias("gc"))
-    short = freq.where(F.char_length("word") <= PREFIX).select("word", F.col("word").alias("family"), "toxic", "clean", F.col("toxic").alias("gt"), F.col("clean").alias("gc"))
-    both = words.where("toxic > 0 or clean > 0").join(families, "family").select("word", "family", "toxic", "clean", "gt", "gc").union(short)
-    # a word's family counts leave the word itself out
-    mean = (F.col("gt") - F.col("toxic") + hyper * share) / (F.col("gt") + F.col("gc") - F.col("toxic") - F.col("clean") + hyper)
-    scored = both.select("word", "family", lower_bound(F.col("toxic") + strength * mean, F.col("clean") + strength * (1 - mean)).alias("score"), "toxic", "clean")
-    whole = (F.col("gt") + hyper * share) / (F.col("gt") + F.col("gc") + hyper)
-    return scored.union(families.select(F.lit(None).cast("string"), "family", lower_bound(strength * whole, strength * (1 - whole)), "gt", "gc"))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, most_words: int = 50_000, least: float = 1.0, strength: float = 5.0, hyper: float = 4.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, strength: float = 2.0, margin: float = 2.0) -> Model:
     """Learn from the labelled rows of ``docs``; repeated label rows count once, as toxic if any says so.
 
-    ``sample``: labelled ids used, by hash; ``most_words``: words kept, highest scores first;
-    ``strength`` and ``hyper``: documents that the priors of a word and of a family weigh.
+    ``sample``: labelled ids used, by hash; ``strength``: documents that the prior weighs.
+    All words of the sample are kept.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").select("_text", "_y").persist()
-    sizes = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    if not sizes.get(1) or not sizes.get(0):
-        rows.unpersist()
-        return Model()
-    freq = document_frequencies(rows, "_text", "_y").persist()
-    total = freq.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
-    if not total["t"] or not total["c"]:
-        rows.unpersist(), freq.unpersist()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
+    rows = materialize(rows.select("_text", "_y"), "labelled-texts")
+    freq = document_frequencies(rows, "_text", "_y").toArrow()
+    toxic, clean, times = (freq.column(c).to_numpy().astype(float) for c in ("toxic", "clean", "times"))
+    if not toxic.sum() or not clean.sum():
         return Model()
-    scored = log_odds(freq, total["t"] / (total["t"] + total["c"]), strength, hyper)
-    top = scored.where(F.col("score") > least).orderBy(F.desc("score"), "family", "word").limit(most_words).collect()
-    # words that training has seen often enough to know better than their family
-    families = {r["family"]: float(r["score"]) for r in top if r["word"] is None}
-    low = scored.where(F.col("family").isin(sorted(families)) & (F.col("score") <= least) & F.col("word").isNotNull()).orderBy(F.desc("clean"), "word").limit(most_words).collect() if families else []
-    freq.unpersist()
-    words = [r for r in top if r["word"] is not None]
-    model = Model(scores={r["word"]: float(r["score"]) for r in words} | {r["word"]: 0.0 for r in low}, families=families)
-    # how often a token scores, in toxic and in clean text
-    hit = [(sum(r[c] for r in words) + 0.5) / (total[k] + 1) for c, k in (("toxic", "t"), ("clean", "c"))]
-    model.drift = max(0.02, math.log((1 - min(hit[1], 0.9)) / (1 - min(hit[0], 0.95))))
-    model.lam = karlin([r["score"] for r in words], [(r["clean"] + 0.05) / (total["c"] + 1) for r in words], model.drift) if words else 1.0
+    share = toxic.sum() / (toxic.sum() + clean.sum())
+    scores = log_odds(toxic, clean, share, strength, margin)
+    model = Model(scores=dict(zip(freq.column("word").to_pylist(), scores.tolist(), strict=True)), unseen=float(log_odds(np.zeros(1), np.zeros(1), share, strength, margin)[0]))
+    if (scores > 0).any():
+        model.lam = karlin(scores, times)
     best = best_segments(spark, model)
-    clean = [(r["n"], r["best"]) for r in rows.where("_y = 0").select(best(F.col("_text")).alias("b")).select("b.n", "b.best").collect() if r["n"]]
+    seen = [(r["n"], r["best"]) for r in rows.where("_y = 0").select(best(F.col("_text")).alias("b")).select("b.n", "b.best").collect() if r["n"]]
     # the likeliest K of the extreme-value law, given lambda
-    model.k = min(10.0, max(1e-3, len(clean) / sum(n * math.exp(-model.lam * x) for n, x in clean))) if clean else model.k
+    model.k = min(10.0, max(1e-3, len(seen) / sum(n * math.exp(-model.lam * x) for n, x in seen))) if seen else model.k
     statistic = scorer_column(spark, model)
     seen = rows.select(statistic(F.col("_text")).alias("p"), "_y").select("p.statistic", "_y").collect()
-    rows.unpersist()
     x = np.log1p(np.array([r["statistic"] for r in seen]))
     model.base, model.slope = logistic(x, np.array([r["_y"] for r in seen], float))
     return model
