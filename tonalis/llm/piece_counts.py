@@ -5,11 +5,12 @@ pieces; so no piece spans the border between another character and a space.  Lin
 are in no piece either.  Both borders cut a text into pre-tokens whose pieces do not
 depend on their surroundings.
 
-The corpus's distinct pre-tokens are gathered by a distributed aggregation and each is counted
-once; a document's count is the sum of its pre-token frequencies times those counts.  The
-``head``, a bounded number of the most frequent pre-tokens, is sent to all tasks and joined to a
-document's frequencies where its text is read; every other pre-token goes through a shuffled
-join.  None of those is frequent, so the join has no hot key, and few rows are shuffled.
+A document's count is the sum of its pre-token frequencies times the pre-tokens' own counts.  The
+``head``, a bounded number of frequent pre-tokens, is counted once, sent to all tasks and joined to
+a document's frequencies where its text is read.  The frequencies of every other pre-token are
+shuffled by pre-token and sorted; each distinct one is counted once where its run begins, joined
+to the rows of the run, and the products are summed by document.  What is frequent in the corpus
+is in the head, so the shuffle has no hot key; which pre-tokens the head has changes no result.
 
 Null text counts as empty and has no tokens; repeated rows are counted each; very long texts and
 pre-tokens are taken whole; an empty table gives no rows.  Models whose pieces could cross a
@@ -21,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,43 +80,55 @@ def counter(spark: SparkSession, model_path: str):
 
     @F.arrow_udf("long")
     def count(text: pa.Array) -> pa.Array:
-        data = model.value
-        c = built_once(("pieces", hashlib.sha1(data).digest()), lambda: PieceCounter(data))
+        c = piece_counter(model.value)
         return pa.array([c.count(x) for x in strings(text)], pa.int64())
 
     return count
 
 
-def distinct_pre_tokens(texts: DataFrame, flush: int = 200_000) -> DataFrame:
-    """pre, n: the pre-tokens of all rows of ``texts`` (column ``text``) and how often they occur."""
+def head_table(texts: DataFrame, model, head: int, head_chars: int) -> dict[str, int]:
+    """Counts of at most ``head`` pre-tokens, those that are frequent in the tasks' texts."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pre", "n"])
-
         for batch in batches:
             for text in strings(batch.column(0)):
                 seen.update(PRE_TOKEN.findall(" " + text.replace(MARK, " ")) if text else ())
-                if len(seen) > flush:
-                    yield out()
-                    seen.clear()
-        yield out()
-
-    return texts.select("text").mapInArrow(gather, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
-
-
-def piece_table(texts: DataFrame, model) -> DataFrame:
-    """pre, n, pieces: each distinct pre-token counted once."""
+                if len(seen) > 6 * head:
+                    seen = Counter(dict(seen.most_common(2 * head)))
+        found = [(x, n) for x, n in seen.most_common(head) if len(x) <= head_chars]
+        yield pa.record_batch([pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["pre", "n"])
 
     @F.arrow_udf("long")
     def pieces(pre: pa.Array) -> pa.Array:
-        data = model.value
-        c = built_once(("pieces", hashlib.sha1(data).digest()), lambda: PieceCounter(data))
+        c = piece_counter(model.value)
         return pa.array([c._count(x) for x in pre.to_pylist()], pa.int64())
 
-    return materialize(distinct_pre_tokens(texts).withColumn("pieces", pieces("pre")), "pieces-of")
+    frequent = texts.select("text").mapInArrow(gather, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre").limit(head)
+    known = frequent.select("pre", pieces("pre").alias("pieces")).toArrow()
+    return dict(zip(known.column("pre").to_pylist(), known.column("pieces").to_pylist(), strict=True))
+
+
+def sum_runs(batches: Iterator[pa.RecordBatch], count: Callable[[str], int]) -> Iterator[pa.RecordBatch]:
+    """Token numbers by row of (pre, row, times) rows sorted by ``pre``: each distinct pre-token is counted once."""
+    last, pieces = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        coded = batch.column("pre").dictionary_encode()
+        own = []
+        for pre in coded.dictionary.to_pylist():
+            if pre != last:
+                last, pieces = pre, count(pre)
+            own.append(pieces)
+        rows, at = np.unique(batch.column("row").to_numpy(), return_inverse=True)
+        n = np.zeros(len(rows), np.int64)
+        np.add.at(n, at, np.array(own, np.int64)[coded.indices.to_numpy()] * batch.column("times").to_numpy())
+        yield pa.record_batch([pa.array(rows), pa.array(n)], names=["row", "n"])
+
+
+def piece_counter(data: bytes) -> PieceCounter:
+    return built_once(("pieces", hashlib.sha1(data).digest()), lambda: PieceCounter(data))
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", head: int = 100_000, head_chars: int = 64) -> DataFrame:
@@ -129,9 +142,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     if not PieceCounter(model.value).splits:
         counted = texts.select("doc_id", "n_bytes", counter(spark, model_path)("text").alias("n_tokens"))
         return counted.withColumn("over_limit", F.col("n_tokens") > limit)
-    table = piece_table(texts, model)
-    known = table.where(F.char_length("pre") <= head_chars).orderBy(F.desc("n"), "pre").limit(head).select("pre", "pieces").toArrow()
-    sent = spark.sparkContext.broadcast(dict(zip(known.column("pre").to_pylist(), known.column("pieces").to_pylist(), strict=True)))
+    sent = spark.sparkContext.broadcast(head_table(texts, model, head, head_chars))
 
     def join_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, row = sent.value.get, TaskContext.get().partitionId() << 40
@@ -152,7 +163,9 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     kind = texts.schema["doc_id"].dataType.simpleString()
     # written once, so that rows keep their numbers
     joined = materialize(texts.mapInArrow(join_head, f"row long, doc_id {kind}, n_bytes long, n long, pre array<string>, times array<long>"), "head-joined")
-    tail = joined.where(F.size("pre") > 0).select("row", F.inline(F.arrays_zip("pre", "times"))).join(table.select("pre", "pieces"), "pre")
-    parts = joined.select("row", "doc_id", "n_bytes", "n").unionByName(tail.select("row", (F.col("times") * F.col("pieces")).alias("n")), allowMissingColumns=True)
+    tail = joined.where(F.size("pre") > 0).select("row", F.inline(F.arrays_zip("pre", "times")))
+    dealt = tail.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pre").sortWithinPartitions("pre")
+    summed = dealt.mapInArrow(lambda batches: sum_runs(batches, piece_counter(model.value)._count), "row long, n long")
+    parts = joined.select("row", "doc_id", "n_bytes", "n").unionByName(summed, allowMissingColumns=True)
     out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
