@@ -107,6 +107,7 @@ def test_segments_are_the_maximal_ones(values):
     got = [(s, e) for s, e, _ in toxicity.segments(np.array(values, float))]
     want = brute_segments(values)
     assert got == want
+    assert toxicity.highest(np.array(values, float)) == pytest.approx(max((sum(values[s:e]) for s, e in want), default=0))
 
 
 def brute_model(texts, labels, strength=2.0, margin=2.0):
@@ -491,8 +492,25 @@ def test_counts_equal_the_library(docs, none):
     for head in (0, 3):  # the shuffled join alone, and both ways
         assert tuples(piece_counts.count_tokens(docs, path, limit=5, head=head), "doc_id", "n_bytes", "n_tokens", "over_limit") == got
     assert piece_counts.count_tokens(none, path).count() == 0
-    table = piece_counts.piece_table(docs, piece_counts.broadcast_file(docs.sparkSession, path)).toPandas()
-    assert table.pre.is_unique and set(table.pre) == {p for t in TEXTS for p in piece_counts.frequencies(t or "")}
+
+
+def test_runs_count_each_pre_token_once():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted((f" w{rng.randrange(50)}", rng.randrange(20), rng.randrange(1, 4)) for _ in range(900))
+    cut = [pa.record_batch([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64())], names=["pre", "row", "times"]) for part in (rows[:7], rows[7:7], rows[7:500], rows[500:])]
+    asked, got, want = Counter(), Counter(), Counter()
+
+    def count(pre):
+        asked[pre] += 1
+        return len(pre)
+
+    for b in piece_counts.sum_runs(iter(cut), count):
+        got.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+    for pre, row, times in rows:
+        want[row] += times * len(pre)
+    assert got == want and set(asked.values()) == {1}
 
 
 @settings(max_examples=150, deadline=None)

@@ -6,7 +6,7 @@ token's score is its log-odds less ``margin`` standard deviations, above or belo
 that training never showed have the score of the prior alone, which is below zero.
 
 Scoring: one linear scan (Ruzzo and Tompa) over all tokens' scores finds all maximal-scoring
-segments.  Under clean text, a text's best segment follows an extreme-value law (Karlin and
+segments; it is left out where even the best segment is not significant.  Under clean text, a text's best segment follows an extreme-value law (Karlin and
 Altschul) whose lambda and K come from clean training documents; segments whose expected number
 in a text of this length is below ``significance`` are toxic passages.  Their normalised scores
 add up to the document's statistic, which a logistic curve fitted on training documents turns
@@ -45,45 +45,63 @@ class Model:
     slope: float = 0.0
 
 
+class Scores(dict):
+    """Scores of words; a word that isn't there has the ``unseen`` score."""
+
+    unseen = 0.0
+
+    def __missing__(self, word: str) -> float:
+        return self.unseen
+
+
 def segments(values: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) of a text whose tokens score ``values``.
 
-    Ruzzo and Tompa's scan: each candidate keeps the running total before it and at its end.
+    Ruzzo and Tompa's scan over the runs of tokens above zero: each candidate keeps the running
+    total before it and at its end, and the nearest earlier candidate with a lower total before it,
+    so that no candidate is looked at twice in vain.
     """
-    found: list[tuple[int, int, float, float]] = []  # start, end, total before, total at the end
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total at the end, lower one
     totals = np.concatenate([[0.0], np.cumsum(values)])
-    risen = np.flatnonzero(values > 0)
-    for at, before, high in zip(risen.tolist(), totals[risen].tolist(), totals[risen + 1].tolist(), strict=True):
-        start, low = at, before
+    turns = np.flatnonzero(np.diff(values > 0, prepend=False, append=False))
+    begins, ends = turns[::2], turns[1::2]
+    for start, end, low, high in zip(begins.tolist(), ends.tolist(), totals[begins].tolist(), totals[ends].tolist(), strict=True):
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= high:
                 break
             start, low = found[j][0], found[j][2]
             del found[j:]
-        found.append((start, at + 1, low, high))
-    return [(s, e, high - low) for s, e, low, high in found]
+        found.append((start, end, low, high, j))
+    return [(s, e, high - low) for s, e, low, high, _ in found]
+
+
+def highest(values: np.ndarray) -> float:
+    """The score of the best segment, 0 if no token is above zero."""
+    totals = np.concatenate([[0.0], np.cumsum(values)])
+    return float((totals - np.minimum.accumulate(totals)).max())
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.m = model
+        self.scores = Scores(model.scores)
+        self.scores.unseen = model.unseen
+
+    def values(self, text: str) -> np.ndarray:
+        """The scores of a text's tokens."""
+        found = letter_runs(text.lower())
+        return np.fromiter(map(self.scores.__getitem__, found), float, len(found))
 
     def passages(self, text: str) -> list[tuple[int, int, float]]:
         """Significant segments with normalised scores."""
-        n, found = self.maximal(text)
-        m = self.m
-        least = math.log(m.k * max(1, n)) - math.log(m.significance)
-        return [(s, e, m.lam * x - least) for s, e, x in found if m.lam * x > least]
-
-    def maximal(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        """The number of tokens and all maximal-scoring segments."""
-        found = letter_runs(text.lower())
-        get, unseen = self.m.scores.get, self.m.unseen
-        values = np.fromiter((get(w, unseen) for w in found), float, len(found))
-        return len(found), segments(values)
+        values, m = self.values(text), self.m
+        least = math.log(m.k * max(1, len(values))) - math.log(m.significance)
+        if m.lam * highest(values) <= least:  # then no segment is significant
+            return []
+        return [(s, e, m.lam * x - least) for s, e, x in segments(values) if m.lam * x > least]
 
     def score(self, x: float) -> float:
         z = self.m.base + self.m.slope * math.log1p(x)
@@ -189,8 +207,8 @@ def best_segments(spark: SparkSession, model: Model):
     def best(text: pa.Array) -> pa.Array:
         data = sent.value
         scorer = built_once(("toxicity", len(data), hash(data)), lambda: Scorer(pickle.loads(data)))
-        found = [scorer.maximal(x) for x in strings(text)]
-        return struct_array([("n", pa.array([n for n, _ in found], pa.int64())), ("best", pa.array([max((x for _, _, x in f), default=0.0) for _, f in found], pa.float64()))])
+        found = [scorer.values(x) for x in strings(text)]
+        return struct_array([("n", pa.array(map(len, found), pa.int64())), ("best", pa.array(map(highest, found), pa.float64()))])
 
     return best
 
