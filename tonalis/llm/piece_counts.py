@@ -26,12 +26,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, broadcast_file, built_once, materialize, strings
+from .common import Memo, broadcast_file, built_once, strings
 
 MARK = "▁"
 #: A run of spaces with what follows, or a line feed with what follows.
@@ -94,8 +95,8 @@ def head_table(texts: DataFrame, model, head: int, head_chars: int) -> dict[str,
         for batch in batches:
             for text in strings(batch.column(0)):
                 seen.update(PRE_TOKEN.findall(" " + text.replace(MARK, " ")) if text else ())
-                if len(seen) > 6 * head:
-                    seen = Counter(dict(seen.most_common(2 * head)))
+                if len(seen) > 2 * head:
+                    seen = Counter(dict(seen.most_common(head)))
         found = [(x, n) for x, n in seen.most_common(head) if len(x) <= head_chars]
         yield pa.record_batch([pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["pre", "n"])
 
@@ -110,9 +111,16 @@ def head_table(texts: DataFrame, model, head: int, head_chars: int) -> dict[str,
 
 
 def sum_runs(batches: Iterator[pa.RecordBatch], count: Callable[[str], int]) -> Iterator[pa.RecordBatch]:
-    """Token numbers by row of (pre, row, times) rows sorted by ``pre``: each distinct pre-token is counted once."""
+    """Token numbers by row of rows sorted by ``pre``, each distinct pre-token counted once.
+
+    A row has ``times`` of a pre-token; rows whose ``pre`` is null go on as they are.
+    """
     last, pieces = None, 0
     for batch in batches:
+        whole = batch.filter(pa.compute.is_null(batch.column("pre")))
+        if whole.num_rows:
+            yield whole.select(["row", "doc_id", "n_bytes", "n"])
+        batch = batch.filter(pa.compute.is_valid(batch.column("pre")))
         if not batch.num_rows:
             continue
         coded = batch.column("pre").dictionary_encode()
@@ -123,15 +131,15 @@ def sum_runs(batches: Iterator[pa.RecordBatch], count: Callable[[str], int]) ->
             own.append(pieces)
         rows, at = np.unique(batch.column("row").to_numpy(), return_inverse=True)
         n = np.zeros(len(rows), np.int64)
-        np.add.at(n, at, np.array(own, np.int64)[coded.indices.to_numpy()] * batch.column("times").to_numpy())
-        yield pa.record_batch([pa.array(rows), pa.array(n)], names=["row", "n"])
+        np.add.at(n, at, np.array(own, np.int64)[coded.indices.to_numpy()] * batch.column("n").to_numpy())
+        yield pa.record_batch([pa.array(rows), *(pa.nulls(len(rows), batch.schema.field(c).type) for c in ("doc_id", "n_bytes")), pa.array(n)], names=["row", "doc_id", "n_bytes", "n"])
 
 
 def piece_counter(data: bytes) -> PieceCounter:
     return built_once(("pieces", hashlib.sha1(data).digest()), lambda: PieceCounter(data))
 
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", head: int = 100_000, head_chars: int = 64) -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", head: int = 400_000, head_chars: int = 64) -> DataFrame:
     """One row per document: ``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (n_tokens > limit).
 
     ``head``: pre-tokens of at most ``head_chars`` characters that are sent to all tasks.
@@ -145,27 +153,27 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     sent = spark.sparkContext.broadcast(head_table(texts, model, head, head_chars))
 
     def join_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document with its tokens of the head, and one for each other pre-token that it has, with its frequency."""
         get, row = sent.value.get, TaskContext.get().partitionId() << 40
         for batch in batches:
-            total, pre, times = [], [], []
-            for text in strings(batch.column("text")):
-                n, rest, often = 0, [], []
+            n, pre, owner, times = [], [], [], []
+            for i, text in enumerate(strings(batch.column("text")), row):
+                total = 0
                 for x, k in frequencies(text).items():
                     if (c := get(x)) is None:
-                        rest.append(x), often.append(k)
+                        pre.append(x), owner.append(i), times.append(k)
                     else:
-                        n += c * k
-                total.append(n), pre.append(rest), times.append(often)
-            columns = [pa.array(np.arange(row, row + len(total))), batch.column("doc_id"), batch.column("n_bytes"), pa.array(total, pa.int64()), pa.array(pre, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=["row", "doc_id", "n_bytes", "n", "pre", "times"])
-            row += len(total)
+                        total += c * k
+                n.append(total)
+            more = len(pre)
+            rows = pa.array(np.concatenate([np.arange(row, row + len(n)), np.array(owner, np.int64)]))
+            doc, size = (pa.concat_arrays([batch.column(c), pa.nulls(more, batch.schema.field(c).type)]) for c in ("doc_id", "n_bytes"))
+            yield pa.record_batch([rows, doc, size, pa.array(n + times, pa.int64()), pa.array([None] * len(n) + pre, pa.string())], names=["row", "doc_id", "n_bytes", "n", "pre"])
+            row += len(n)
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    # written once, so that rows keep their numbers
-    joined = materialize(texts.mapInArrow(join_head, f"row long, doc_id {kind}, n_bytes long, n long, pre array<string>, times array<long>"), "head-joined")
-    tail = joined.where(F.size("pre") > 0).select("row", F.inline(F.arrays_zip("pre", "times")))
-    dealt = tail.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pre").sortWithinPartitions("pre")
-    summed = dealt.mapInArrow(lambda batches: sum_runs(batches, piece_counter(model.value)._count), "row long, n long")
-    parts = joined.select("row", "doc_id", "n_bytes", "n").unionByName(summed, allowMissingColumns=True)
+    joined = texts.mapInArrow(join_head, f"row long, doc_id {kind}, n_bytes long, n long, pre string")
+    dealt = joined.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.coalesce("pre", F.col("row").cast("string"))).sortWithinPartitions("pre")
+    parts = dealt.mapInArrow(lambda batches: sum_runs(batches, piece_counter(model.value)._count), f"row long, doc_id {kind}, n_bytes long, n long")
     out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
