@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -65,14 +64,15 @@ def held_out(id_col: Column) -> Column:
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RUN = regex.compile(r"\p{L}+")
-_NUMERIC = [chr(x) for x in range(sys.maxunicode + 1) if chr(x).isalnum() and not chr(x).isalpha() and not chr(x).isdecimal()]
 #: Number signs such as fractions, superscripts and Roman numerals: ``re`` takes them for word characters, but they are no letters.
-_SIGN = re.compile(f"[{''.join(_NUMERIC)}]")
+_SIGN = re.compile("[" + "".join(x for x in map(chr, range(1 << 16)) if x.isalnum() and not x.isalpha() and not x.isdecimal()) + "]")
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 
 
 def letter_runs(text: str) -> list[str]:
     """All runs of letters (Unicode's L) of a text."""
-    return (_RUN if not text.isascii() and _SIGN.search(text) else _LETTERS).findall(text)
+    plain = text.isascii() or not (_SIGN.search(text) or _ASTRAL.search(text))
+    return (_LETTERS if plain else _RUN).findall(text)
 
 
 def strings(column: pa.Array) -> list[str]:

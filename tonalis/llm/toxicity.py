@@ -3,7 +3,8 @@
 Learning: for each word (a run of letters, lower case) the toxic and clean training documents
 that hold it, smoothed by a Dirichlet prior whose mean is the classes' share, give log-odds; a
 token's score is its log-odds less ``margin`` standard deviations, above or below zero.  Words
-that training never showed have the score of the prior alone, which is below zero.
+that training never showed have the score of the prior alone, which is below zero.  Words are kept
+as sorted 64-bit hashes.
 
 Scoring: one linear scan (Ruzzo and Tompa) over all tokens' scores finds all maximal-scoring
 segments; it is left out where even the best segment is not significant.  Under clean text, a text's best segment follows an extreme-value law (Karlin and
@@ -25,18 +26,28 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import built_once, crc_fold, held_out, letter_runs, materialize, strings, struct_array
 
 
+def word_hashes(found: list[str]) -> np.ndarray:
+    """XXH64 with seed 42 of words, as Spark has it."""
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), found), np.uint64, len(found))
+
+
 @dataclass
 class Model:
-    scores: dict[str, float] = field(default_factory=dict)
+    """``words``: hashes of the training's words in ascending order; ``scores``: a score for each."""
+
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    scores: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     unseen: float = -1.0
     lam: float = 1.0
     k: float = 0.1
@@ -45,15 +56,6 @@ class Model:
     slope: float = 0.0
 
 
-class Scores(dict):
-    """Scores of words; a word that isn't there has the ``unseen`` score."""
-
-    unseen = 0.0
-
-    def __missing__(self, word: str) -> float:
-        return self.unseen
-
-
 def segments(values: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) of a text whose tokens score ``values``.
 
@@ -87,13 +89,14 @@ def highest(values: np.ndarray) -> float:
 class Scorer:
     def __init__(self, model: Model):
         self.m = model
-        self.scores = Scores(model.scores)
-        self.scores.unseen = model.unseen
 
     def values(self, text: str) -> np.ndarray:
         """The scores of a text's tokens."""
-        found = letter_runs(text.lower())
-        return np.fromiter(map(self.scores.__getitem__, found), float, len(found))
+        h, m = word_hashes(letter_runs(text.lower())), self.m
+        if not len(m.words):
+            return np.full(len(h), m.unseen)
+        at = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
+        return np.where(m.words[at] == h, m.scores[at], m.unseen)
 
     def passages(self, text: str) -> list[tuple[int, int, float]]:
         """Significant segments with normalised scores."""
@@ -164,13 +167,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
     rows = materialize(rows.select("_text", "_y"), "labelled-texts")
-    freq = document_frequencies(rows, "_text", "_y").toArrow()
+    freq = document_frequencies(rows, "_text", "_y").select(F.xxhash64("word").alias("word"), "toxic", "clean", "times").toArrow()
     toxic, clean, times = (freq.column(c).to_numpy().astype(float) for c in ("toxic", "clean", "times"))
     if not toxic.sum() or not clean.sum():
         return Model()
     share = toxic.sum() / (toxic.sum() + clean.sum())
-    scores = log_odds(toxic, clean, share, strength, margin)
-    model = Model(scores=dict(zip(freq.column("word").to_pylist(), scores.tolist(), strict=True)), unseen=float(log_odds(np.zeros(1), np.zeros(1), share, strength, margin)[0]))
+    scores, words = log_odds(toxic, clean, share, strength, margin), freq.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    model = Model(words[order], scores[order].astype(np.float32), unseen=float(log_odds(np.zeros(1), np.zeros(1), share, strength, margin)[0]))
     if (scores > 0).any():
         model.lam = karlin(scores, times)
     best = best_segments(spark, model)
