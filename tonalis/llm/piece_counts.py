@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, broadcast_file, built_once, strings
+from .common import Memo, broadcast_file, built_once, materialize, strings
 
 MARK = "▁"
 #: A run of spaces with what follows, or a line feed with what follows.
@@ -88,7 +88,10 @@ def counter(spark: SparkSession, model_path: str):
 
 
 def head_table(texts: DataFrame, model, head: int, head_chars: int) -> dict[str, int]:
-    """Counts of at most ``head`` pre-tokens, those that are frequent in the tasks' texts."""
+    """Counts of at most ``head`` pre-tokens, those found most often of what recurs within the tasks' texts.
+
+    A pre-token left out that way occurs at most once a task or less often than the head's.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -97,7 +100,7 @@ def head_table(texts: DataFrame, model, head: int, head_chars: int) -> dict[str,
                 seen.update(PRE_TOKEN.findall(" " + text.replace(MARK, " ")) if text else ())
                 if len(seen) > 2 * head:
                     seen = Counter(dict(seen.most_common(head)))
-        found = [(x, n) for x, n in seen.most_common(head) if len(x) <= head_chars]
+        found = [(x, n) for x, n in seen.most_common(head) if n > 1 and len(x) <= head_chars]
         yield pa.record_batch([pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["pre", "n"])
 
     @F.arrow_udf("long")
@@ -105,8 +108,15 @@ def head_table(texts: DataFrame, model, head: int, head_chars: int) -> dict[str,
         c = piece_counter(model.value)
         return pa.array([c._count(x) for x in pre.to_pylist()], pa.int64())
 
-    frequent = texts.select("text").mapInArrow(gather, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre").limit(head)
-    known = frequent.select("pre", pieces("pre").alias("pieces")).toArrow()
+    frequent = materialize(texts.select("text").mapInArrow(gather, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n")), "frequent")
+    # the least frequency of which the head has room for all; frequencies above it are few
+    least, room = None, head
+    for r in frequent.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).count().orderBy(F.desc("n")).toLocalIterator():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["n"]
+    known = frequent.where(F.col("n") >= least if least is not None else F.lit(False)).select("pre", pieces("pre").alias("pieces")).toArrow()
     return dict(zip(known.column("pre").to_pylist(), known.column("pieces").to_pylist(), strict=True))
 
 
@@ -139,7 +149,7 @@ def piece_counter(data: bytes) -> PieceCounter:
     return built_once(("pieces", hashlib.sha1(data).digest()), lambda: PieceCounter(data))
 
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", head: int = 400_000, head_chars: int = 64) -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", head: int = 200_000, head_chars: int = 64) -> DataFrame:
     """One row per document: ``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (n_tokens > limit).
 
     ``head``: pre-tokens of at most ``head_chars`` characters that are sent to all tasks.
