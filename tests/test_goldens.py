@@ -196,3 +196,82 @@ def test_midi_notes():
     data = b"MThd" + bytes([0, 0, 0, 6, 0, 0, 0, 1, 0, 0x60]) + b"MTrk" + len(track).to_bytes(4, "big") + track
     start, duration, pitch, velocity, *_ = list(files.parse_midi(data))[0]
     assert (start, duration, pitch) == (0.0, 0.5, 60) and velocity == pytest.approx(100 / 127)
+
+
+def brute_families(S, segment):
+    """The best score of a family of paths over a segment, by trying all: paths cover its columns from first to last in rows that don't meet."""
+    import functools
+
+    N, M = S.shape[0], segment[1] - segment[0] + 1
+    seg = S[:, segment[0] : segment[1] + 1]
+
+    @functools.cache
+    def path(n, m):
+        """Best (score, row after the end) choices of a path that stands on (n, m), by the row it ends in."""
+        if m == M - 1:
+            return {n: seg[n, m]}
+        out = {}
+        for a, b in ((1, 1), (2, 1), (1, 2)):
+            if n + a < N and m + b < M:
+                for end, v in path(n + a, m + b).items():
+                    out[end] = max(out.get(end, -np.inf), v + seg[n, m])
+        return out
+
+    @functools.cache
+    def best(n):
+        if n >= N:
+            return 0.0
+        return max([best(n + 1)] + [v + best(end + 1) for end, v in path(n, 0).items()])
+
+    return best(0)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_path_families_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    N = int(rng.integers(4, 11))
+    S = rng.standard_normal((N, N))
+    S = np.where(rng.random((N, N)) < 0.3, -2.0, (S + S.T) / 2)
+    np.fill_diagonal(S, 1.0)
+    met = []
+    for start in range(N):
+        for end in range(start, min(N, start + 4)):
+            D, score = K.thumbnail_scores(S[:, start : end + 1])
+            family = K.path_family(D)
+            best = brute_families(S, (start, end))
+            # the recurrence may also enter the second column straight from outside, which no path of a family does
+            assert score >= best - 1e-9
+            if score > best + 1e-9:
+                continue
+            total = sum(S[n, start + m] for p in family for n, m in p)
+            assert total <= score + 1e-9
+            met.append(total >= score - 1e-9)  # walking back leaves out steps over a row that start in the first one
+            for p in family:
+                assert p[0][1] == 0 and p[-1][1] == end - start
+                assert all((b[0] - a[0], b[1] - a[1]) in K.STEPS for a, b in zip(p, p[1:]))
+            assert all(p[-1][0] < q[0][0] for p, q in zip(family, family[1:]))
+    assert np.mean(met) > 0.7
+
+
+def brute_tops(x, rel, level):
+    """Backward scan by the definition, without interrupted rises: a top is higher than the valleys on both sides by ``rel``; the scan's end must not cut its fall to one step."""
+    out = []
+    for i in range(1, len(x)):
+        right = i
+        while right + 1 < len(x) and x[right] >= x[right + 1]:
+            right += 1
+        left = i
+        while left > 0 and x[left - 1] < x[left]:
+            left -= 1
+        if left < i and (left or i > 1) and x[i] - x[right] >= rel and x[i] - x[left] >= rel and x[i] >= level:
+            out.append(i)
+    return out[::-1]
+
+
+def test_roeder_peaks_are_tops_between_deep_valleys():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        x = rng.permutation(30).astype(float)
+        x[-1] = x[0] = 0.0
+        got = K.peaks_roeder(np.append(x, 0.0), rel_thresh=4.0, descent_thresh=0.0, abs_thresh=5.0, tmax=len(x))
+        assert got == brute_tops(x, 4.0, 5.0)

@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 
 from tonalis import queries as Q
+from tonalis import queries_more, queries_sequences  # noqa: F401  (they register more queries and SQL)
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-NAMES = ["flagship_novelty_peaks", "pitch_scalars", "mu_law_and_quantize", "moving_windows", "smooth_downsample_hann", "median_downsample", "normalize_z", "peaks_boeck", "cens", "novelty_spectrum", "hps_masks", "resample_linear", "threshold_local", "novelty_checkerboard", "matching_function", "matching_diag", "score_chroma", "chord_recognition_template", "boundary_eval", "ranking_prf", "hmm_transitions", "istft_roundtrip", "streaming_hourly"]
+NAMES = ["flagship_novelty_peaks", "pitch_scalars", "mu_law_and_quantize", "moving_windows", "smooth_downsample_hann", "median_downsample", "normalize_z", "peaks_boeck", "cens", "novelty_spectrum", "hps_masks", "resample_linear", "threshold_local", "novelty_checkerboard", "matching_function", "matching_diag", "score_chroma", "chord_recognition_template", "boundary_eval", "ranking_prf", "hmm_transitions", "istft_roundtrip", "streaming_hourly", "dtw", "dtw_21", "common_subsequence", "partial_matching", "viterbi", "stft_power", "plp", "tempogram_autocorr", "streaming_sessions", "frequency_scalars", "shepard_glissando", "chirp_exp_equal_loudness", "instantaneous_frequency", "log_frequency_bins_if", "activation_score_onset", "pairwise_codes", "eval_measures"]
 
 
 @pytest.fixture(scope="module")

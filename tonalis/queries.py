@@ -623,7 +623,7 @@ def strict_alignment(spark, sf):
 
 
 def _scores(spark, sf):
-    return SM.threshold(_alignments(spark, sf, "dot"), 0.15, "relative", True, -2.0)
+    return SM.threshold(rounded(_alignments(spark, sf, "dot")), 0.15, "relative", True, -2.0)
 
 
 @query()
@@ -727,4 +727,5 @@ def streaming_hourly(spark, sf):
 
 @query()
 def streaming_sessions(spark, sf):
-    return _stream(spark, lambda e: ST.sessions(e, "user_id", "6 hours"), sf, "events")
+    out = _stream(spark, lambda e: ST.sessions(e, "user_id", "6 hours"), sf, "events")
+    return out.select("user_id", "rows", (F.unix_micros("start") / 1e6).alias("start"), (F.unix_micros("end") / 1e6).alias("stop"), "mean")
