@@ -134,12 +134,7 @@ def links_in_run(x: np.ndarray, size: np.ndarray, filters: list[np.ndarray], own
     """
     n = len(x)
     across = len(np.unique(chunk)) > 1
-    # a 0/1 table of the earlier filters, for which pairs have been counted elsewhere
-    earlier = [f[f < own] for f in filters]
-    names, where = np.unique(np.concatenate(earlier) if earlier else np.zeros(0, int), return_inverse=True)
-    shared = np.zeros((n, len(names)), np.float32)
-    shared[np.repeat(np.arange(n), [len(f) for f in earlier]), where] = 1
-    counts, union = np.zeros(n, np.int64), Union(n)
+    counts, union, shared = np.zeros(n, np.int64), Union(n), None
     for at in range(0, n, block):
         close = x[at : at + block] @ x.T >= cosine
         close[np.arange(close.shape[0]), np.arange(at, at + close.shape[0])] = False
@@ -149,8 +144,14 @@ def links_in_run(x: np.ndarray, size: np.ndarray, filters: list[np.ndarray], own
             continue
         i, j = np.nonzero(close)
         union.add(i + at, j)
-        if len(names):
-            close &= shared[at : at + block] @ shared.T == 0
+        if shared is None:  # a 0/1 table of the earlier filters, for which pairs have been counted elsewhere
+            earlier = [f[f < own] for f in filters]
+            names, where = np.unique(np.concatenate(earlier), return_inverse=True)
+            shared = np.zeros((n, len(names)), np.float32)
+            shared[np.repeat(np.arange(n), [len(f) for f in earlier]), where] = 1
+        if shared.shape[1]:
+            near = np.unique(i)  # rows without a link need no look
+            close[near] &= shared[at + near] @ shared.T == 0
         counts[at : at + block] += close @ size
     return counts, union
 
@@ -182,18 +183,19 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
                 width, sds, at_least = plans[dim]
                 code = built_once(("caps", dim, width, seed), lambda dim=dim, width=width: Code(dim, width, seed))
                 found = code.decode(unit([vectors[i] for i in own], kind), sds / math.sqrt(dim), at_least)
-                yield pa.record_batch([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), batch.column(2).take(pa.array(own)), pa.array([dim] * len(own), pa.int32()), pa.array([f.tolist() for f in found], pa.list_(pa.int64()))], names=["node", "size", "packed", "dim", "filters"])
+                yield pa.record_batch([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), batch.column(2).take(pa.array(own)), pa.array([dim] * len(own), pa.int32()), pa.array([f.tolist() for f in found], pa.list_(pa.int32()))], names=["node", "size", "packed", "dim", "filters"])
 
-    decoded = classes.select("node", "size", "packed").mapInArrow(decode, "node long, size long, packed binary, dim int, filters array<long>")
+    decoded = classes.select("node", "size", "packed").mapInArrow(decode, "node long, size long, packed binary, dim int, filters array<int>")
     keyed = decoded.select("*", F.explode("filters").alias("filter")).withColumn("key", F.concat_ws("-", "dim", "filter"))
     runs = split_hot(keyed, "key", "node", most)
 
     def verify(table: pa.Table) -> Iterator[pa.RecordBatch]:
         node = table.column("node").to_numpy()
         order = np.argsort(node, kind="stable")
-        node, filters = node[order], table.column("filters").to_pylist()
+        node, lists = node[order], table.column("filters").combine_chunks()
+        filters = np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1]) if lists.offset == 0 and len(lists.values) == lists.offsets[-1].as_py() else [np.array(f) for f in lists.to_pylist()]
         vectors = table.column("packed").to_pylist()
-        counts, union = links_in_run(unit([vectors[i] for i in order], kind), table.column("size").to_numpy()[order], [np.array(filters[i]) for i in order], table.column("filter")[0].as_py(), table.column("chunk").to_numpy()[order], cosine)
+        counts, union = links_in_run(unit([vectors[i] for i in order], kind), table.column("size").to_numpy()[order], [filters[i] for i in order], table.column("filter")[0].as_py(), table.column("chunk").to_numpy()[order], cosine)
         keep = np.flatnonzero((counts > 0) | (union.label != np.arange(len(node))))
         yield pa.record_batch([pa.array(node[keep]), pa.array(node[union.label[keep]]), pa.array(counts[keep])], names=["a", "b", "n"])
 
