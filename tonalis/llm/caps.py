@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import built_once, materialize
+from .common import built_once, float_rows, materialize
 from .components import Union, connected_components
 from .runs import per_run, split_hot
 
@@ -35,13 +35,8 @@ def packer(kind: str):
 
     @F.arrow_udf("binary")
     def pack(vectors: pa.Array) -> pa.Array:
-        out = []
-        for v in vectors.to_pylist():
-            if not v or None in v:
-                out.append(None)
-                continue
-            x = np.array(v, np.float64) + 0.0  # -0.0 becomes 0.0
-            out.append(x.astype(kind).tobytes() if np.isfinite(x).all() and x.any() else None)
+        rows = float_rows(vectors)
+        out = [None if x is None or not x.any() else (x + 0.0).astype(kind).tobytes() for x in rows]  # -0.0 becomes 0.0
         return pa.array(out, pa.binary())
 
     return pack

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +82,16 @@ def strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def float_rows(vectors: pa.Array) -> list[np.ndarray | None]:
+    """Vectors of an Arrow column as doubles; None for those that are null or empty or hold null or non-finite components."""
+    lists = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    values, ends = lists.flatten(), np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())
+    flat = pa.compute.fill_null(values, float("nan")).to_numpy().astype(np.float64)
+    rows = np.split(flat, ends[:-1]) if len(ends) else []
+    bad = np.append(0, np.cumsum(~np.isfinite(flat)))[np.append(0, ends)]
+    return [None if not len(x) or b else x for x, b in zip(rows, np.diff(bad).tolist(), strict=True)]
+
+
 def broadcast_file(spark: SparkSession, path: str, most: int = 64 << 20):
     """Broadcast a vocabulary file (read on the driver; at most ``most`` bytes)."""
     with open(path, "rb") as f:

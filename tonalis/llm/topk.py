@@ -29,7 +29,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import float_rows, new_path
 
 #: Squared lengths up to which products and their partial sums are exact in doubles.
 EXACT = 2.0**52
@@ -41,12 +41,9 @@ def quantiser(scale: float):
 
     @F.arrow_udf("binary")
     def pack(vectors: pa.Array) -> pa.Array:
-        out = []
-        for v in vectors.to_pylist():
-            x = np.array(v, np.float64) if v and None not in v else None
-            with np.errstate(over="ignore"):
-                x = None if x is None or not np.isfinite(x).all() else np.floor(scale * x) + 0.0
-            out.append(None if x is None else np.clip(x, -1e300, 1e300).astype("<f8").tobytes())
+        with np.errstate(over="ignore"):
+            rows = [None if x is None else np.clip(np.floor(scale * x) + 0.0, -1e300, 1e300) for x in float_rows(vectors)]
+        out = [None if x is None else x.astype("<f8").tobytes() for x in rows]
         return pa.array(out, pa.binary())
 
     return pack
