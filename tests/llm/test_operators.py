@@ -110,38 +110,46 @@ def test_segments_are_the_maximal_ones(values):
     assert toxicity.highest(np.array(values, float)) == pytest.approx(max((sum(values[s:e]) for s, e in want), default=0))
 
 
-def brute_model(texts, labels, strength=2.0, margin=2.0):
-    """Word scores by their definition."""
+def brute_model(texts, labels, strength=5.0, margin=2.0, hyper=4.0):
+    """Scores of words, and of words not seen by their first five letters, by their definition."""
     held = [set(re.findall(r"[a-z]+", t)) for t in texts]
     count = {w: [sum(w in h and y == k for h, y in zip(held, labels)) for k in (0, 1)] for h in held for w in h}
     total = [sum(c[k] for c in count.values()) for k in (0, 1)]
     share = total[1] / sum(total)
-    out = {}
-    for w, (c, t) in count.items():
-        a, b = t + strength * share, c + strength * (1 - share)
-        out[w] = np.log(a / b * (1 - share) / share) - margin * (1 / a + 1 / b) ** 0.5
-    return out
+
+    def mean(prefix, but=None):
+        kin = [t / (t + c) for w, (c, t) in count.items() if len(w) > 5 and w[:5] == prefix and w != but]
+        return (sum(kin) + hyper * share) / (len(kin) + hyper)
+
+    def score(c, t, m):
+        a, b = t + strength * m, c + strength * (1 - m)
+        return np.log(a / b * (1 - share) / share) - margin * (1 / a + 1 / b) ** 0.5
+
+    words = {w: score(c, t, mean(w[:5], w) if len(w) > 5 else share) for w, (c, t) in count.items()}
+    return words, lambda w: score(0, 0, mean(w[:5]) if len(w) > 5 else share)
 
 
 def test_word_scores_and_passages_equal_brute_force(spark):
     rng = random.Random(7)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
     labels = [int(i % 4 == 0) for i in range(200)]
-    texts = [" ".join(rng.choices(words, k=60) + rng.choices(["vile", "nasty", "wicked"], k=4 if y else 0) + rng.choices(words, k=20)) for y in labels]
+    texts = [" ".join(rng.choices(words, k=60) + rng.choices(["vile", "nasty", "wicked", "wickedly", "wickeder"], k=4 if y else 0) + rng.choices(words, k=20)) for y in labels]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
-    want = brute_model(texts, labels)
+    want, new = brute_model(texts, labels)
     scorer = toxicity.Scorer(model)
+    others = ["wickedest", "wicke", "unknown", "vile"]
+    assert scorer.values(" ".join(others)).tolist() == pytest.approx([want.get(w) or new(w) for w in others], rel=1e-5)
     assert dict(zip(want, scorer.values(" ".join(want)).tolist())) == pytest.approx(want, rel=1e-5) and min(want.values()) < 0 < max(want.values())
     assert len(model.words) == len(want)
     long = " ".join([texts[0]] + [w for t in texts[1:4] for w in t.split()] * 100 + [texts[4]])
-    for text in [*texts[:20], "", "unknown words only", "vile vile vile", long]:
-        values = [float(np.float32(want.get(w, model.unseen))) for w in text.split()]
+    for text in [*texts[:20], "", "unknown words only, the wickedest", "vile vile vile", long]:
+        values = [float(np.float32(want[w] if w in want else new(w))) for w in re.findall('[a-z]+', text)]
         found = toxicity.segments(np.array(values)) if len(values) > 500 else [(s, e, sum(values[s:e])) for s, e in brute_segments(values)]
         least = np.log(model.k * max(1, len(values)) / model.significance)
         expected = [(s, e, model.lam * x - least) for s, e, x in found if model.lam * x > least]
         got = scorer.passages(text)
-        assert [p[:2] for p in got] == [p[:2] for p in expected] and [p[2] for p in got] == pytest.approx([p[2] for p in expected], rel=1e-4, abs=1e-4)
+        assert [p[:2] for p in got] == [p[:2] for p in expected] and [p[2] for p in got] == pytest.approx([p[2] for p in expected], rel=1e-3, abs=1e-3)
     assert len(scorer.passages(long)) >= 2  # passages far apart in a very long text are both found
 
 

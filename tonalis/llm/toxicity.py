@@ -1,10 +1,12 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Learning: for each word (a run of letters, lower case) the toxic and clean training documents
-that hold it, smoothed by a Dirichlet prior whose mean is the classes' share, give log-odds; a
-token's score is its log-odds less ``margin`` standard deviations, above or below zero.  Words
-that training never showed have the score of the prior alone, which is below zero.  Words are kept
-as sorted 64-bit hashes.
+that hold it, smoothed by a Dirichlet prior, give log-odds; a token's score is its log-odds less
+``margin`` standard deviations, above or below zero.  The prior is hierarchical: its mean is the
+mean toxic share of the other words that begin with the same PREFIX letters, each distinct word
+counting once, drawn to the classes' share by ``hyper`` words.  Words that training never showed
+have the score of the prior alone, which is below zero unless most words of their kind are toxic
+ones.  Words and beginnings are kept as sorted 64-bit hashes.
 
 Scoring: one linear scan (Ruzzo and Tompa) over all tokens' scores finds all maximal-scoring
 segments; it is left out where even the best segment is not significant.  Under clean text, a text's best segment follows an extreme-value law (Karlin and
@@ -37,6 +39,9 @@ from pyspark.sql import functions as F
 from .common import built_once, crc_fold, held_out, letter_runs, materialize, strings, struct_array
 
 
+PREFIX = 5
+
+
 def word_hashes(found: list[str]) -> np.ndarray:
     """XXH64 with seed 42 of words, as Spark has it."""
     return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), found), np.uint64, len(found))
@@ -44,10 +49,15 @@ def word_hashes(found: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``words``: hashes of the training's words in ascending order; ``scores``: a score for each."""
+    """``words``: hashes of the training's words in ascending order; ``scores``: a score for each.
+
+    ``families`` and ``family_scores`` likewise for the beginnings of words of over PREFIX letters.
+    """
 
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     scores: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    families: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    family_scores: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     unseen: float = -1.0
     lam: float = 1.0
     k: float = 0.1
@@ -86,17 +96,27 @@ def highest(values: np.ndarray) -> float:
     return float((totals - np.minimum.accumulate(totals)).max())
 
 
+def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are among the sorted ``keys``, and their values or the default."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.full(len(wanted), default)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return hit, np.where(hit, values[at], default)
+
+
 class Scorer:
     def __init__(self, model: Model):
         self.m = model
 
     def values(self, text: str) -> np.ndarray:
         """The scores of a text's tokens."""
-        h, m = word_hashes(letter_runs(text.lower())), self.m
-        if not len(m.words):
-            return np.full(len(h), m.unseen)
-        at = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
-        return np.where(m.words[at] == h, m.scores[at], m.unseen)
+        found, m = letter_runs(text.lower()), self.m
+        hit, out = lookup(m.words, m.scores, word_hashes(found), m.unseen)
+        new = [i for i in np.flatnonzero(~hit).tolist() if len(found[i]) > PREFIX]
+        if new:
+            _, out[new] = lookup(m.families, m.family_scores, word_hashes([found[i][:PREFIX] for i in new]), m.unseen)
+        return out
 
     def passages(self, text: str) -> list[tuple[int, int, float]]:
         """Significant segments with normalised scores."""
@@ -137,12 +157,25 @@ def document_frequencies(docs: DataFrame, text_col: str, label_col: str) -> Data
     return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "times")])
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, share: float, strength: float, margin: float) -> np.ndarray:
-    """Log-odds of words against the classes' ``share``, less ``margin`` standard deviations."""
-    a, b = toxic + strength * share, clean + strength * (1 - share)
+def log_odds(toxic: np.ndarray, clean: np.ndarray, mean: np.ndarray, share: float, strength: float, margin: float) -> np.ndarray:
+    """Log-odds of words against the classes' ``share``, less ``margin`` standard deviations; ``mean`` is the prior's."""
+    a, b = toxic + strength * mean, clean + strength * (1 - mean)
     return np.log(a / b) - math.log(share / (1 - share)) - margin * np.sqrt(1 / a + 1 / b)
 
 
+def family_means(own: np.ndarray, family: np.ndarray, share: float, hyper: float) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the priors from the words' ``own`` toxic shares and ``family`` numbers (-1: none).
+
+    For each word, of the others in its family; and for each family, of all.
+    """
+    inside = family >= 0
+    total, kinds = np.bincount(family[inside], own[inside]), np.bincount(family[inside])
+    mean = np.full(len(own), share)
+    at = family[inside]
+    mean[inside] = (total[at] - own[inside] + hyper * share) / (kinds[at] - 1 + hyper)
+    return np.maximum(mean, 1e-9), np.maximum((total + hyper * share) / (kinds + hyper), 1e-9)
+
+
 def karlin(scores: np.ndarray, times: np.ndarray) -> float:
     """The positive root of sum p exp(lambda s) = 1 for tokens that occur ``times`` in clean text."""
     p = times / times.sum()
@@ -156,10 +189,11 @@ def karlin(scores: np.ndarray, times: np.ndarray) -> float:
     return low
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, strength: float = 2.0, margin: float = 2.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, strength: float = 5.0, margin: float = 2.0, hyper: float = 4.0) -> Model:
     """Learn from the labelled rows of ``docs``; repeated label rows count once, as toxic if any says so.
 
-    ``sample``: labelled ids used, by hash; ``strength``: documents that the prior weighs.
+    ``sample``: labelled ids used, by hash; ``strength``: documents that a word's prior
+    weighs; ``hyper``: words that the classes' share weighs in a family.
     All words of the sample are kept.
     """
     spark = docs.sparkSession
@@ -167,14 +201,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
     rows = materialize(rows.select("_text", "_y"), "labelled-texts")
-    freq = document_frequencies(rows, "_text", "_y").select(F.xxhash64("word").alias("word"), "toxic", "clean", "times").toArrow()
+    kind = F.when(F.char_length("word") > PREFIX, F.xxhash64(F.substring("word", 1, PREFIX))).alias("family")
+    freq = document_frequencies(rows, "_text", "_y").select(F.xxhash64("word").alias("word"), kind, "toxic", "clean", "times").toArrow()
     toxic, clean, times = (freq.column(c).to_numpy().astype(float) for c in ("toxic", "clean", "times"))
     if not toxic.sum() or not clean.sum():
         return Model()
     share = toxic.sum() / (toxic.sum() + clean.sum())
-    scores, words = log_odds(toxic, clean, share, strength, margin), freq.column("word").to_numpy().view(np.uint64)
+    has = freq.column("family").is_valid().to_numpy()
+    families, at = np.unique(freq.column("family").drop_null().to_numpy().view(np.uint64), return_inverse=True)
+    family = np.full(len(has), -1)
+    family[has] = at
+    mean, of_family = family_means(toxic / (toxic + clean), family, share, hyper)
+    scores, words = log_odds(toxic, clean, mean, share, strength, margin), freq.column("word").to_numpy().view(np.uint64)
+    prior = lambda m: log_odds(np.zeros(len(m)), np.zeros(len(m)), m, share, strength, margin)
     order = np.argsort(words)
-    model = Model(words[order], scores[order].astype(np.float32), unseen=float(log_odds(np.zeros(1), np.zeros(1), share, strength, margin)[0]))
+    model = Model(words[order], scores[order].astype(np.float32), families, prior(of_family).astype(np.float32), float(prior(np.array([share]))[0]))
     if (scores > 0).any():
         model.lam = karlin(scores, times)
     best = best_segments(spark, model)
