@@ -126,9 +126,9 @@ _BUILT: dict[tuple, object] = {}
 
 
 def built_once(key: tuple, build):
-    """An object built once in a Python worker (workers are reused from task to task)."""
+    """An object built once in a Python worker; a worker (they are reused from task to task) keeps two."""
     if key not in _BUILT:
-        if len(_BUILT) > 8:
+        if len(_BUILT) > 1:
             _BUILT.clear()
         _BUILT[key] = build()
     return _BUILT[key]

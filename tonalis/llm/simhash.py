@@ -322,8 +322,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle_words:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shingle_hashes(x or "", shingle_words, seed) for x in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array([set_code(h) for h in got], pa.int64()), pa.array([h.tobytes() for h in got], pa.binary())], names=["node", "set"])
+            for at in range(0, b.num_rows, 128):  # a few texts' sets at a time
+                got = [shingle_hashes(x or "", shingle_words, seed) for x in b.column(0).slice(at, 128).to_pylist()]
+                yield pa.record_batch([pa.array([set_code(h) for h in got], pa.int64()), pa.array([h.tobytes() for h in got], pa.binary())], names=["node", "set"])
 
     return materialize(docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(sets, "node long, set binary"), "shingle-sets").dropDuplicates(["node"])
 
@@ -334,8 +335,8 @@ def verified(own: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     @F.arrow_udf("boolean")
     def similar(one: pa.Array, two: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(one.to_pylist(), two.to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(one, two, strict=True):  # the sets stay in the column's buffers
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
         return pa.array(out, pa.bool_())
