@@ -438,6 +438,34 @@ def test_every_language_and_four_gram_is_learned(spark):
     assert len(want) > 200_000 and np.array_equal(model.keys[3], want)
 
 
+def test_calibration_counts_every_training_text(spark):
+    """Texts beyond the first 4000 by hash of the id, and those without an id, move limit and temperature as well."""
+    rng = random.Random(12)
+    plain = {"aa": ["ba", "ko", "lu", "mi"], "bb": ["sch", "en", "ung", "tra"]}
+    ids = [r["id"] for r in spark.range(4400).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, " ".join("".join(rng.choices(plain[g], k=2)) for _ in range(6)), g) for i, g in zip(ids[:4000], rng.choices(list(plain), k=4000))]
+    rows += [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)), "aa") for i in ids[4000:]]  # little like their language
+    rows += [(None, "".join(rng.choices(plain["bb"], k=2)), "aa") for _ in range(600)]  # marked wrongly
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    scorer = langid.Scorer(model)
+    e = np.array([scorer.entropy(t) for _, t, _ in rows])
+    best, own = e.min(1), e[np.arange(len(rows)), [model.languages.index(g) for _, _, g in rows]]
+    middle, high = np.quantile(best, [0.5, 0.999])
+    assert model.limit == pytest.approx(high + 3 * (high - middle) + 0.5, rel=1e-9)
+    loss = lambda t: np.mean(np.log(np.exp((best[:, None] - e) / t).sum(1)) + (own - best) / t)
+    assert model.temperature == min(np.geomspace(0.005, 2, 30), key=loss)
+
+
+def test_values_at_ranks_equal_sorting(spark):
+    rng = random.Random(13)
+    x = [rng.choice([1.0, 1.5, rng.expovariate(1), 1e9 * rng.random()]) for _ in range(1000)] + [1.0, 1.0 + 2**-52]
+    values = spark.createDataFrame([(v,) for v in x], "x double")
+    ranks = {0, 1, 400, 401, 500, 1000, 1001}
+    for few, bins in (1, 64), (50, 16), (2000, 16):
+        assert langid.at_ranks(values, ranks, few, bins) == {r: sorted(x)[r] for r in ranks}
+    assert langid.quantiles(values, [0.0, 0.5, 0.999, 1.0]) == pytest.approx(np.quantile(x, [0, 0.5, 0.999, 1]), rel=1e-12)
+
+
 def gram_counts(texts):
     """Distinct four-grams (first, rest) and their counts."""
     freq = Counter()

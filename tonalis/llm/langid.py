@@ -8,7 +8,7 @@ four are hashed into one; each order is one sorted array of keys with a row of l
 per key (a column per language), looked up by binary search.  A text goes to the language with the lowest
 cross-entropy per symbol.  A temperature turns cross-entropies into a score, and a text is
 rejected if even its best cross-entropy lies far above what training texts show; both are
-calibrated on a bounded sample.
+calibrated on all training texts, the limit by exact quantiles.
 
 A text that is null or has no letter (number signs such as fractions are none) is ``und`` with
 score 0, and is rejected.  Very long texts are scored whole, distinct word by distinct word.  Ties go to
@@ -17,10 +17,11 @@ the language that sorts first.  Without any training text every document is ``un
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import built_once, crc_fold, held_out, letter_runs, strings, struct_array
+from .common import built_once, crc_fold, discard, held_out, letter_runs, materialize, strings, struct_array
 
 ORDER = 4
 BORDER = "\x01"
@@ -36,6 +37,7 @@ UND = "und"
 DISCOUNT = 0.75
 BITS = np.uint64(21)  # of a symbol
 MASK = [np.uint64((1 << (21 * k)) - 1) for k in range(ORDER)]
+TEMPERATURES = np.geomspace(0.005, 2, 30)
 
 
 def words(text: str) -> list[str]:
@@ -226,26 +228,71 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str, flush: int = 200_
     return docs.select(lang_col, text_col).mapInArrow(count, "lang string, first long, rest long, n long").groupBy("lang", "first", "rest").agg(F.sum("n").alias("n"))
 
 
-def entropies(docs: DataFrame, model: Model, text_col: Column) -> Column:
-    """Column: cross-entropy in each language, null without a letter."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(pickle.dumps(model))
+def send(spark: SparkSession, model: Model):
+    """Broadcast the tables without what is calibrated, so that a worker needs one scorer before and after."""
+    return spark.sparkContext.broadcast(pickle.dumps(replace(model, temperature=0.0, limit=0.0)))
 
-    @F.arrow_udf("array<double>")
-    def score(text: pa.Array) -> pa.Array:
-        data = sent.value
-        scorer = built_once(("langid", len(data), hash(data)), lambda: Scorer(pickle.loads(data)))
-        return pa.array([None if (e := scorer.entropy(x)) is None else e.tolist() for x in strings(text)], pa.list_(pa.float64()))
 
-    return score(text_col)
+def scorer_of(data: bytes) -> Scorer:
+    return built_once(("langid", len(data), hash(data)), lambda: Scorer(pickle.loads(data)))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 4000) -> Model:
-    """Learn from ``docs`` (rows with a null language or text take no part).
+def calibration(docs: DataFrame, model: Model, text_col: str, lang_col: str) -> DataFrame:
+    """``best``: the lowest cross-entropy of each row that has a letter; ``losses``: a task's sums for TEMPERATURES."""
+    sent = send(docs.sparkSession, model)
 
-    ``sample``: documents for calibration.
-    """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_text is not null and _lang is not null")
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scorer_of(sent.value)
+        at = {x: i for i, x in enumerate(scorer.model.languages)}
+        losses = np.zeros(len(TEMPERATURES))
+        kinds = pa.schema([("best", pa.float64()), ("losses", pa.list_(pa.float64()))])
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                part = batch.slice(start, 1000)
+                found = [(e, at[x]) for x, text in zip(part.column(0).to_pylist(), strings(part.column(1)), strict=True) if (e := scorer.entropy(text)) is not None]
+                if not found:
+                    continue
+                e, truth = np.array([e for e, _ in found]), np.array([x for _, x in found])
+                best = e.min(1)
+                for i, t in enumerate(TEMPERATURES):
+                    z = -(e - best[:, None]) / t
+                    losses[i] += (np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]).sum()
+                yield pa.record_batch([pa.array(best), pa.nulls(len(best), kinds.types[1])], schema=kinds)
+        yield pa.record_batch([pa.nulls(1, kinds.types[0]), pa.array([losses.tolist()], kinds.types[1])], schema=kinds)
+
+    return docs.select(lang_col, text_col).mapInArrow(score, "best double, losses array<double>")
+
+
+def at_ranks(values: DataFrame, ranks: set[int], few: int = 100_000, bins: int = 4096) -> dict[int, float]:
+    """The values at ``ranks`` (from 0, ascending) of a column of finite doubles: only bins that hold a rank are looked into."""
+    x = F.col(values.columns[0])
+    n, low, high = values.agg(F.count(x), F.min(x), F.max(x)).first()
+    if low == high:
+        return dict.fromkeys(ranks, low)
+    if n <= few:
+        ordered = np.sort(values.toArrow().column(0).to_numpy())
+        return {r: float(ordered[r]) for r in ranks}
+    place = F.least(F.floor((x - low) / ((high - low) / bins)), F.lit(bins - 1))
+    out, before = {}, 0
+    for b, size in sorted(map(tuple, values.groupBy(place).count().collect())):
+        inside = {r - before for r in ranks if before <= r < before + size}
+        if inside:
+            out |= {before + r: v for r, v in at_ranks(values.where(place == b), inside, few, bins).items()}
+        before += size
+    return out
+
+
+def quantiles(values: DataFrame, shares: list[float]) -> list[float]:
+    """Exact quantiles of a column of finite doubles, linear between neighbours."""
+    last = values.count() - 1
+    below = [int(last * q) for q in shares]
+    found = at_ranks(values, {min(r + k, last) for r in below for k in (0, 1)})
+    return [found[r] + (last * q - r) * (found[min(r + 1, last)] - found[r]) for q, r in zip(shares, below, strict=True)]
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learn from ``docs`` (rows with a null language or text take no part)."""
+    rows = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_text is not null and _lang is not null")
     kept = count_grams(rows, "_text", "_lang").toPandas()
     if not len(kept):
         return Model([], [], [], [], [], np.zeros(0, np.float32))
@@ -254,32 +301,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         table[lang] = (own["first"].to_numpy(np.int64).view(np.uint64), own["rest"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64))
     languages = sorted(table)
     model = build(languages, table)
-    ids = rows.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    chosen = rows.join(F.broadcast(ids), "_id", "left_semi")
-    seen = [(r["e"], r["l"]) for r in chosen.select(entropies(rows, model, F.col("_text")).alias("e"), F.col("_lang").alias("l")).collect() if r["e"] is not None and r["l"] in table]
-    if seen:
-        e = np.array([x for x, _ in seen])
-        truth = np.array([languages.index(x) for _, x in seen])
-        best = e.min(1)
-        model.limit = float(np.quantile(best, 0.999) + 3 * (np.quantile(best, 0.999) - np.median(best)) + 0.5)
-
-        def loss(t: float) -> float:
-            z = -(e - best[:, None]) / t
-            return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]))
-
-        model.temperature = min(np.geomspace(0.005, 2, 30), key=loss)
+    seen = materialize(calibration(rows, model, "_text", "_lang"), "calibration")
+    losses = np.array([r["losses"] for r in seen.where("losses is not null").collect()])
+    median, high = quantiles(seen.select("best").where("best is not null"), [0.5, 0.999])
+    discard(seen)
+    model.limit = high + 3 * (high - median) + 0.5
+    model.temperature = float(TEMPERATURES[np.argmin([math.fsum(x) for x in losses.T])])
     return model
 
 
 def predictor(spark: SparkSession, model: Model):
     """Column function: text -> struct(lang_pred, score, rejected, entropy)."""
-    sent = spark.sparkContext.broadcast(pickle.dumps(model))
+    sent, temperature, limit = send(spark, model), model.temperature, model.limit
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType()), T.StructField("entropy", T.DoubleType())])
 
     @F.arrow_udf(kind)
     def predict(text: pa.Array) -> pa.Array:
-        data = sent.value
-        scorer = built_once(("langid", len(data), hash(data)), lambda: Scorer(pickle.loads(data)))
+        scorer = scorer_of(sent.value)
         m = scorer.model
         lang, score, rejected, entropy = [], [], [], []
         for x in strings(text):
@@ -289,8 +327,8 @@ def predictor(spark: SparkSession, model: Model):
                 continue
             at = int(e.argmin())
             lang.append(m.languages[at])
-            score.append(float(1 / np.exp(-(e - e[at]) / m.temperature).sum()))
-            rejected.append(bool(e[at] > m.limit))
+            score.append(float(1 / np.exp(-(e - e[at]) / temperature).sum()))
+            rejected.append(bool(e[at] > limit))
             entropy.append(float(e[at]))
         return struct_array([("lang_pred", pa.array(lang, pa.string())), ("score", pa.array(score, pa.float64())), ("rejected", pa.array(rejected, pa.bool_())), ("entropy", pa.array(entropy, pa.float64()))])
 
