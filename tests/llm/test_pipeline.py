@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonalis.llm import simhash
+from tonalis.llm.common import crc_fold
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, row string, verdict string, id string"
 
@@ -54,6 +55,19 @@ def test_empty_tables(spark, world, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_language_limit_comes_from_every_training_document(spark):
+    """Unusual documents that training holds stay, though none is among the first 4000 by hash of the id."""
+    rng = random.Random(15)
+    plain = {"aa": ["ba", "ko", "lu", "mi"], "bb": ["sch", "en", "ung", "tra"]}
+    ids = [r["id"] for r in spark.range(6400).where(crc_fold(F.col("id")) != 2).orderBy(F.xxhash64("id"), "id").limit(4400).collect()]
+    assert len(ids) == 4400
+    rows = [(i, " ".join("".join(rng.choices(plain[g], k=2)) for _ in range(6)), g) for i, g in zip(ids[:4000], rng.choices(list(plain), k=4000))]
+    rows += [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)), "aa") for i in ids[4000:]]
+    docs = spark.createDataFrame([*rows, (9000, "42 !", None)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").select("doc_id").collect()}
+    assert kept == set(ids)
+
+
 def jaccard(one: str, two: str) -> float:
     a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (one.split(), two.split()))
     return len(a & b) / len(a | b)
