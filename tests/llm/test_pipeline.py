@@ -68,6 +68,18 @@ def test_language_limit_comes_from_every_training_document(spark):
     assert kept == set(ids)
 
 
+def test_language_models_come_from_every_document(spark):
+    """A language stays if all its documents are in the quarter that op7 holds out; unlike texts without a language go."""
+    rng = random.Random(16)
+    fold = {r["id"]: r["fold"] for r in spark.range(400).select("id", crc_fold(F.col("id")).alias("fold")).collect()}
+    parts = {"aa": ["ba", "ko", "lu", "mi"], "bb": ["sch", "en", "ung", "tra"], "cc": ["λο", "γη", "ται", "μεν"]}
+    rows = [(i, g, " ".join("".join(rng.choices(parts[g], k=3)) for _ in range(20))) for i, f in fold.items() for g in ["cc" if f == 2 else rng.choice(["aa", "bb"])]]
+    assert {g for _, g, _ in rows} == set(parts)
+    odd = [(9000, None, "42 !"), (9001, None, "это другой язык и его никто не учил")]
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows + odd, "doc_id long, lang string, text string"), "").select("doc_id").collect()}
+    assert kept == set(fold)
+
+
 def jaccard(one: str, two: str) -> float:
     a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (one.split(), two.split()))
     return len(a & b) / len(a | b)
