@@ -3,10 +3,11 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tonalis.llm import simhash
+from tonalis.llm import common, simhash
 from tonalis.llm.common import crc_fold
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, row string, verdict string, id string"
@@ -108,3 +109,49 @@ def test_near_copies_from_similarity_0_8_on_go(spark, small):
     assert {got[k] for k, _ in group} == {1000} and got[2001] == got[2000] == 2000
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()} if small == 32 else None
     assert kept is None or kept == {k for k, v in got.items() if k == v}
+
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_stages_bound_the_bytes_of_a_batch(spark, world):
+    """What a stage sends to Python workers comes in batches of at most 4 MB, or less if the session asks for it."""
+    folder, _ = world
+    texts = spark.range(0, 4000, 1, 1).select(F.col("id"), F.repeat(F.lit("word "), 600).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    try:
+        for asked, most in [(None, 4 << 20), ("1m", 1 << 20)]:
+            for _, stage in corpus_pipeline.STAGES if asked is None else corpus_pipeline.STAGES[-1:]:
+                spark.conf.set(BATCH, asked or "64m")
+                stage(spark, spark.read.parquet(f"{folder}/documents.parquet").limit(20), folder)
+                found = [(r["n"], r["bytes"]) for r in texts.mapInArrow(sizes, "n long, bytes long").collect()]
+                assert sum(n for n, _ in found) == 4000 and max(x for _, x in found) < 1.1 * most
+    finally:
+        spark.conf.unset(BATCH)
+
+
+def test_rows_do_not_depend_on_batches(spark, world):
+    """The pipeline returns the same rows if nearly every row is a batch of its own."""
+    folder, _ = world
+    try:
+        spark.conf.unset(BATCH)
+        want = sorted(map(tuple, corpus_pipeline.run(spark, folder).select("doc_id", "piece", "start", "length", "ids_crc32").collect()), key=str)
+        spark.conf.set(BATCH, "1k")
+        assert sorted(map(tuple, corpus_pipeline.run(spark, folder).select("doc_id", "piece", "start", "length", "ids_crc32").collect()), key=str) == want
+    finally:
+        spark.conf.unset(BATCH)
+
+
+def test_a_worker_keeps_one_built_object():
+    """A stage's model doesn't stay in a worker beside the next one's."""
+    kept = dict(common._BUILT)
+    try:
+        made = [common.built_once(("test", i), lambda i=i: [i]) for i in (0, 1, 1)]
+        assert made == [[0], [1], [1]] and made[1] is made[2] and list(common._BUILT) == [("test", 1)]
+    finally:
+        common._BUILT.clear()
+        common._BUILT.update(kept)

@@ -126,14 +126,24 @@ _BUILT: dict[tuple, object] = {}
 
 
 def built_once(key: tuple, build):
-    """An object built once in a Python worker; a worker (they are reused from task to task) keeps two."""
+    """An object built once in a Python worker; a worker (they are reused from task to task) keeps the last one."""
     if key not in _BUILT:
-        if len(_BUILT) > 1:
-            _BUILT.clear()
+        _BUILT.clear()
         _BUILT[key] = build()
     return _BUILT[key]
 
 
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on the session's Arrow batches end at ``most`` bytes, unless it asks for less.
+
+    Spark's limit is 64 MB, and a batch is held several times: in an executor's direct buffers and
+    vectors, which grow by doubling, and in the Python worker.  The setting holds when a plan runs,
+    so it stays; no row is cut, and a row above the limit is a batch of its own.
+    """
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def struct_array(columns: Iterable[tuple[str, pa.Array]]) -> pa.StructArray:
     columns = list(columns)
     return pa.StructArray.from_arrays([c for _, c in columns], names=[n for n, _ in columns])
