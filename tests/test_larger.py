@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonalis import queries as Q
+from tonalis.operators import blocks as B
+from tonalis.operators import similarity as SM
 
 
 def close(got, want):
@@ -27,3 +29,48 @@ def test_value_scalars_of_zero(spark, tmp_path):
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     want = con.execute(Q.ORACLE_SQL["value_scalars"]).df()
     assert got.set_index("event_id")["tempo"].to_dict() == want.set_index("event_id")["tempo"].to_dict() == {1: np.inf, 2: 2400.0}
+
+
+def tracks(spark, sizes, bins=12, seed=0):
+    """Non-negative unit frames of a track for each size, as arrays and as NumPy."""
+    rng = np.random.default_rng(seed)
+    X = {str(i): rng.random((N, bins)) for i, N in enumerate(sizes)}
+    X = {t: x / np.linalg.norm(x, axis=1, keepdims=True) for t, x in X.items()}
+    return spark.createDataFrame([(t, n, row.tolist()) for t, x in X.items() for n, row in enumerate(x)], "track_id string, n long, vec array<double>"), X
+
+
+def nodes(df, name):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count(name)
+
+
+def matrices(df):
+    return {p: g.pivot(index="n", columns="m", values="v").to_numpy() for p, g in df.toPandas().groupby("pair_id")}
+
+
+def test_rounding_equals_spark(spark):
+    v = [0.0, -0.0, 0.5000005, 0.1234565, -0.1234565, 2.5e-6, 0.9999995, -1.0000005, 123456.7890125, 1e9 + 1e-7, 1e300, float("inf"), float("nan"), None]
+    v += np.random.default_rng(1).normal(size=500).tolist() + (np.random.default_rng(2).integers(0, 10**6, 500) / 1e6 + 5e-7).tolist()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i long, v double")
+    got = Q.rounded(df).join(df.select("i", (F.round("v", 6) + F.lit(0.0)).alias("want")), "i")
+    assert got.where("not v <=> want").count() == 0
+    finite = np.array([x for x in v if x is not None and np.isfinite(x)])
+    assert (B.round6(finite) == np.array([r[0] for r in spark.createDataFrame([(i, float(x)) for i, x in enumerate(finite)], "i long, v double").orderBy("i").select(F.round("v", 6) + F.lit(0.0)).collect()])).all()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cityblock", "chebyshev", "cosine", "dot", "cost_dot"])
+def test_cells_are_made_in_bands(spark, monkeypatch, metric):
+    monkeypatch.setattr(B, "BAND", 16)
+    v, X = tracks(spark, [37, 16, 1])
+    df = SM.pairwise(v, v, metric)
+    assert nodes(df, "MapInArrow") and not nodes(df, "lambdafunction(aggregate")
+    want = {"euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum(-1)), "cityblock": lambda a, b: abs(a - b).sum(-1), "chebyshev": lambda a, b: abs(a - b).max(-1), "cosine": lambda a, b: 1 - (a * b).sum(-1), "dot": lambda a, b: (a * b).sum(-1), "cost_dot": lambda a, b: 1 - (a * b).sum(-1)}[metric]
+    got = matrices(df)
+    assert {t: M.shape for t, M in got.items()} == {"0": (37, 37), "1": (16, 16), "2": (1, 1)}
+    for t, x in X.items():
+        assert np.allclose(got[t], want(x[:, None], x[None]), atol=1e-12)
+
+
+def test_frames_of_unlike_sizes_give_nulls(spark):
+    v = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("a", 1, [1.0]), ("a", 5, [None, 1.0])], "track_id string, n long, vec array<double>")
+    got = {(r["n"], r["m"]): r["v"] for r in SM.pairwise(v, v, "dot").collect()}
+    assert got == {(0, 0): 5.0, (1, 1): 1.0} | {(a, b): None for a in (0, 1, 5) for b in (0, 1, 5) if (a, b) not in ((0, 0), (1, 1))}
