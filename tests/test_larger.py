@@ -1,5 +1,7 @@
 """Results of queries on values that the smallest tables lack, and operators that never hold or move all cells."""
 
+import os
+
 import duckdb
 import numpy as np
 import pytest
@@ -9,6 +11,8 @@ from tonalis import queries as Q
 from tonalis.operators import blocks as B
 from tonalis.operators import similarity as SM
 
+SF = "/root/testdata/sf0.01"
+
 
 def close(got, want):
     """Equal rows in any order, doubles to six digits."""
@@ -74,3 +78,15 @@ def test_frames_of_unlike_sizes_give_nulls(spark):
     v = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("a", 1, [1.0]), ("a", 5, [None, 1.0])], "track_id string, n long, vec array<double>")
     got = {(r["n"], r["m"]): r["v"] for r in SM.pairwise(v, v, "dot").collect()}
     assert got == {(0, 0): 5.0, (1, 1): 1.0} | {(a, b): None for a in (0, 1, 5) for b in (0, 1, 5) if (a, b) not in ((0, 0), (1, 1))}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["filter_diag", "sm_ti_forward_backward", "sm_ti_shifts", "time_lag", "threshold_relative_scaled", "threshold_local", "novelty_structure", "novelty_checkerboard"])
+def test_matrix_queries_in_bands(spark, monkeypatch, name):
+    """Bands of few rows, coarse classes of few values: the SQL's rows, without a window over cells."""
+    monkeypatch.setattr(B, "BAND", 16)
+    df = Q.QUERIES[name](spark, SF)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    close(df.toPandas(), con.execute(Q.ORACLE_SQL[name]).df())
+    assert nodes(df, "MapInArrow") >= 3 and nodes(df, "Window [sum(v") == nodes(df, "Window [max(n") == nodes(df, "Window [lead(v") == 0
