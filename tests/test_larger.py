@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tonalis import queries as Q
 from tonalis.operators import blocks as B
+from tonalis.operators import kernels as K
+from tonalis.operators import sequences as S
 from tonalis.operators import similarity as SM
+from tonalis.operators import sweeps as SW
 
 SF = "/root/testdata/sf0.01"
 
@@ -90,3 +93,34 @@ def test_matrix_queries_in_bands(spark, monkeypatch, name):
     con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
     close(df.toPandas(), con.execute(Q.ORACLE_SQL[name]).df())
     assert nodes(df, "MapInArrow") >= 3 and nodes(df, "Window [sum(v") == nodes(df, "Window [max(n") == nodes(df, "Window [lead(v") == 0
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 9), (9, 1), (40, 33), (25, 60)])
+def test_sweeps_equal_whole_matrices(monkeypatch, shape):
+    """Paths through many kept anti-diagonals, with ties, against the kernels that hold the matrix."""
+    monkeypatch.setattr(SW, "EVERY", 7)
+    rng = np.random.default_rng(sum(shape))
+    for trial in range(6):
+        X, Y = (rng.integers(0, 3, (n, 4)) / 2 if trial % 2 else rng.random((n, 4)) for n in shape)
+        dots = SW.Dots(X, Y)
+        C = np.array([[dots(n + m, n, n)[0] for m in range(shape[1])] for n in range(shape[0])])
+        for steps in (K.CLASSIC, K.STEPS_21, K.STEPS_ALL):
+            D = K.accumulate(1.0 - C, steps)
+            assert SW.warping_path(X, Y, steps) == (K.warping_path(D, steps), D[-1, -1])
+        score = lambda d, low, high: dots(d, low, high) - 0.8  # noqa: B023, E731
+        D = K.common_subsequence(C - 0.8)
+        assert SW.common_subsequence(*shape, score) == (K.common_subsequence_path(D), D.max())
+        D, pairs = K.partial_matching(C - 0.8)
+        assert SW.partial_matching(*shape, score) == (pairs, D[-1, -1])
+
+
+def test_alignment_sends_frames_not_cells(spark):
+    v, _ = tracks(spark, [30, 41])
+    pairs = spark.createDataFrame([("p", "0", "1")], "pair_id string, x_id string, y_id string")
+    cost = SM.pairwise(v, v, "cost_dot", pairs)
+    df = S.dtw_frames(v, v, pairs)
+    assert df.orderBy("idx").collect() == S.dtw(cost).orderBy("idx").collect()
+    assert not nodes(df, "Generate") and not nodes(df, "FlatMapGroups")
+    score = SM.threshold(Q.rounded(SM.pairwise(v, v, "dot", pairs)), 0.15, "relative", True, -2.0)
+    for new, old in ((S.common_subsequence_frames, S.common_subsequence), (S.partial_matching_frames, S.partial_matching)):
+        assert new(v, v, pairs, 0.15, -2.0).orderBy("idx").collect() == old(score).orderBy("idx").collect()
