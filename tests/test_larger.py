@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonalis import queries as Q
+from tonalis import queries_more  # noqa: F401  (registers more queries)
 from tonalis.operators import blocks as B
 from tonalis.operators import kernels as K
 from tonalis.operators import sequences as S
@@ -19,7 +20,7 @@ SF = "/root/testdata/sf0.01"
 
 def close(got, want):
     """Equal rows in any order, doubles to six digits."""
-    order = lambda d: d[sorted(d.columns)].sort_values([c for c in sorted(d.columns) if d[c].dtype.kind != "f"]).reset_index(drop=True)
+    order = lambda d: d[sorted(d.columns)].sort_values(sorted(d.columns, key=lambda c: (d[c].dtype.kind == "f", c))).reset_index(drop=True)
     got, want = order(got), order(want)
     assert list(got.columns) == list(want.columns) and len(got) == len(want)
     for c in got.columns:
@@ -124,3 +125,18 @@ def test_alignment_sends_frames_not_cells(spark):
     score = SM.threshold(Q.rounded(SM.pairwise(v, v, "dot", pairs)), 0.15, "relative", True, -2.0)
     for new, old in ((S.common_subsequence_frames, S.common_subsequence), (S.partial_matching_frames, S.partial_matching)):
         assert new(v, v, pairs, 0.15, -2.0).orderBy("idx").collect() == old(score).orderBy("idx").collect()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["template_pitch_onset", "score_chroma", "notes_to_pitch", "activation_score_onset", "nmf_activation", "notes_to_chroma", "template_pitch"])
+def test_notes_stay_in_partitions_by_track(spark, monkeypatch, name):
+    """One shuffle, of notes, into partitions of a fixed size; the SQL's rows."""
+    monkeypatch.setattr(Q.A, "PART_BYTES", 20_000)
+    df = Q.QUERIES[name](spark, SF)
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
+    close(df.toPandas(), con.execute(Q.ORACLE_SQL[name]).df())
+    import re
+
+    exchanges = set(re.findall(r"Exchange ([a-z]+\(track_id)#\d+, (\d+)\)", df._jdf.queryExecution().executedPlan().toString()))
+    assert {how for how, _ in exchanges} == {"hashpartitioning(track_id"} and all(int(p) > 8 for _, p in exchanges)

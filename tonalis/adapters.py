@@ -53,8 +53,23 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as notes: a track per supplier, days as seconds."""
     li = table(spark, sf_dir, "lineitem")
     day = F.floor(_micros("l_shipdate") / DAY_US)
-    first = F.min(day).over(Window.partitionBy("l_suppkey"))
-    return li.select(F.col("l_suppkey").cast("string").alias("track_id"), (day - first).cast("double").alias("start"), F.col("l_quantity").alias("duration"), (F.col("l_partkey") % 88 + 21).cast("double").alias("pitch"), (1 - F.col("l_discount")).alias("velocity"), F.col("l_returnflag").alias("label"))
+    n = by_track(li, F.col("l_suppkey").cast("string").alias("track_id"), day.alias("_day"), F.col("l_quantity").alias("duration"), (F.col("l_partkey") % 88 + 21).cast("double").alias("pitch"), (1 - F.col("l_discount")).alias("velocity"), F.col("l_returnflag").alias("label"))
+    first = F.min("_day").over(Window.partitionBy("track_id"))
+    return n.select("track_id", (F.col("_day") - first).cast("double").alias("start"), "duration", "pitch", "velocity", "label")
+
+
+PART_BYTES = 2_000_000  # of a table's files in a partition by track
+
+
+def by_track(df: DataFrame, *columns) -> DataFrame:
+    """Columns of a table, with ``track_id``, dealt by track.
+
+    What later groups by the track and more stays in these partitions, so that its memory depends
+    on their size, which is the same for any size of the table, and exploded cells aren't shuffled.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    return df.select(*columns).repartition(parts, "track_id")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

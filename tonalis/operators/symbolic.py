@@ -176,13 +176,15 @@ def activation_score(notes: DataFrame, N: int, frame_res: float, tol_note=(0.2,
 
 def activation_score_onset(notes: DataFrame, N: int, frame_res: float, tol_note=(0.2, 0.5), tol_onset=(0.3, 0.1)) -> DataFrame:
     """Rows of onsets (2 r) and sounds (2 r + 1) of each pitch: track, row, pitch, n."""
-    r = pitch_set(notes)
-    sound = activation_score(notes, N, frame_res, tol_note)
-    a = F.greatest(_trunc((F.col("start") - tol_onset[0]) / frame_res), F.lit(0))
-    b = F.least(_trunc((F.col("start") + tol_onset[1]) / frame_res), F.lit(N))
-    onset = _span(notes, a, b).select(*BY, "pitch", "n").distinct()
-    both = onset.withColumn("_o", F.lit(0)).unionByName(sound.withColumn("_o", F.lit(1)))
-    return both.join(r, [*BY, "pitch"]).select(*BY, (F.col("r") * 2 + F.col("_o")).alias("row"), "pitch", "n")
+    w = Window.partitionBy(*BY).orderBy("pitch")
+    ranked = notes.withColumn("r", F.dense_rank().over(w) - 1).where("pitch is not null")  # the place in ``pitch_set``
+
+    def cells(before: float, end: Column, row: int) -> DataFrame:
+        a = F.greatest(_trunc((F.col("start") - before) / frame_res), F.lit(0))
+        b = F.least(_trunc(end / frame_res), F.lit(N))
+        return _span(ranked, a, b).select(*BY, (F.col("r") * 2 + row).alias("row"), "pitch", "n").distinct()
+
+    return cells(tol_onset[0], F.col("start") + tol_onset[1], 0).unionByName(cells(tol_note[0], F.col("start") + F.col("duration") + tol_note[1], 1))
 
 
 def split_hands(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
