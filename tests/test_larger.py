@@ -140,3 +140,26 @@ def test_notes_stay_in_partitions_by_track(spark, monkeypatch, name):
 
     exchanges = set(re.findall(r"Exchange ([a-z]+\(track_id)#\d+, (\d+)\)", df._jdf.queryExecution().executedPlan().toString()))
     assert {how for how, _ in exchanges} == {"hashpartitioning(track_id"} and all(int(p) > 8 for _, p in exchanges)
+
+
+def test_synthetic_matrix_is_painted_per_track(spark, monkeypatch):
+    """Pairs of segments in order, a path over its block, the diagonal over all; only segments are shuffled."""
+    rng = np.random.default_rng(5)
+    data = [(t, int(s), int(s + rng.integers(0, 6)), "ab"[int(rng.integers(0, 2))]) for t in "xy" for s in rng.integers(0, 30, 8)]
+    df = SM.synthetic_ssm(spark.createDataFrame(data, "track_id string, start int, end int, label string"))
+    assert nodes(df, "MapInArrow") == 1 and not nodes(df, "SortMergeJoin") and not nodes(df, "max(w")
+    want = {}
+    for t in "xy":
+        mine = sorted(d[1:] for d in data if d[0] == t)
+        for s, e, label in mine:
+            for s2, e2, other in mine:
+                if label == other:
+                    want |= {(t, n, m): 0.5 for n in range(s, e + 1) for m in range(s2, e2 + 1)}
+                    one, two = e - s + 1, e2 - s2 + 1
+                    for i in range(max(one, two)):
+                        want[(t, s + i, s2 + int(i * (two / one))) if one >= two else (t, s + int(i * (one / two)), s2 + i)] = 1.0
+        want |= {(t, n, n): 1.0 for n in range(max(e for _, e, _ in mine) + 1)}
+    monkeypatch.setattr(B, "CELLS", 64)
+    assert {(r["track_id"], r["n"], r["m"]): r["v"] for r in df.collect()} == want
+    got = [g for g in SM._painted(sorted(d[1:] for d in data if d[0] == "x"), 1.0, 0.5, True, True, True)]
+    assert len(got) > 5 and {("x", int(n[i]), m + j): V[i, j] for n, m, V, has in got for i, j in zip(*np.nonzero(has), strict=True)} == {k: v for k, v in want.items() if k[0] == "x"}

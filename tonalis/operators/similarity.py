@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -253,26 +255,70 @@ def synthetic_ssm(segments: DataFrame, score_path: float = 1.0, score_block: flo
 
     Later segment pairs overwrite earlier ones, a pair's path its block, the diagonal all.
     """
-    w = Window.partitionBy(*by).orderBy("start", "end", "label")
-    s = segments.withColumn("_i", F.row_number().over(w))
-    a = s.select(*by, "label", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("_i").alias("_a"))
-    b = s.select(*by, "label", F.col("start").alias("_s2"), F.col("end").alias("_e2"), F.col("_i").alias("_b"))
-    pairs = a.join(b, [*by, "label"])
-    parts = []
-    if with_block:
-        cell = pairs.withColumn("n", F.explode(F.sequence("_s", "_e"))).withColumn("m", F.explode(F.sequence("_s2", "_e2")))
-        parts.append(cell.select(*by, "n", "m", F.struct("_a", "_b", F.lit(0).alias("p"), F.lit(float(score_block)).alias("v")).alias("w")))
-    if with_path:
-        one, two = F.col("_e") - F.col("_s") + 1, F.col("_e2") - F.col("_s2") + 1
-        path = pairs.withColumns({"_l": one, "_l2": two}).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("_l", "_l2") - 1)))
-        n = F.when(F.col("_l") >= F.col("_l2"), F.col("i")).otherwise((F.col("i") * (F.col("_l") / F.col("_l2"))).cast("long"))
-        m = F.when(F.col("_l") >= F.col("_l2"), (F.col("i") * (F.col("_l2") / F.col("_l"))).cast("long")).otherwise(F.col("i"))
-        parts.append(path.select(*by, (F.col("_s") + n).alias("n"), (F.col("_s2") + m).alias("m"), F.struct("_a", "_b", F.lit(1).alias("p"), F.lit(float(score_path)).alias("v")).alias("w")))
-    size = segments.groupBy(*by).agg(F.max("end").alias("_N"))
-    if main_diagonal:
-        d = size.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_N").cast("long"))))
-        parts.append(d.select(*by, "n", F.col("n").alias("m"), F.struct(F.lit(1 << 30).alias("_a"), F.lit(0).alias("_b"), F.lit(2).alias("p"), F.lit(float(score_path)).alias("v")).alias("w")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(*by, "n", "m").agg(F.max("w").alias("w")).select(*by, "n", "m", F.col("w.v").alias("v"))
+    kind = dict(segments.dtypes)
+    if [kind[c] for c in ("start", "end")].count("double"):
+        raise ValueError("segments need integer places")
+    lists = segments.where("label is not null and start is not null and end is not null").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), "label"))).alias("g"))
+    lists = lists.repartition(8 * lists.sparkSession.sparkContext.defaultParallelism, *by)
+    keys = len(by)
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                g = b.column(keys)[r].as_py()
+                for n, m, V, has in _painted([(x["s"], x["e"], x["label"]) for x in g], score_path, score_block, main_diagonal, with_path, with_block):
+                    at = pa.array(np.arange(0, V.size + 1, V.shape[1], dtype=np.int32))
+                    flat = pa.array(V.ravel(), mask=~has.ravel())
+                    one = pa.array(np.zeros(len(V), np.int64))
+                    yield pa.RecordBatch.from_arrays([b.column(i).slice(r, 1).take(one) for i in range(keys)] + [pa.array(n), pa.array(np.full(len(V), m)), pa.ListArray.from_arrays(at, flat)], names=[*by, "n", "_m", "_v"])
+
+    out = lists.mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in by) + ", n long, _m long, _v array<double>")
+    out = out.select(*by, "n", "_m", F.posexplode("_v").alias("_p", "v")).where("v is not null")
+    place = "long" if "bigint" in (kind["start"], kind["end"]) or main_diagonal or with_path else "int"
+    return out.select(*by, F.col("n").cast(place).alias("n"), (F.col("_m") + F.col("_p")).cast(place).alias("m"), "v")
+
+
+def _painted(segments, score_path, score_block, main_diagonal, with_path, with_block):
+    """Strips of rows of a synthetic matrix: places of the rows, of the first column, values, and which cells are there.
+
+    Segments are in order.  Only the segments that reach into a strip are painted, in the order of the pairs.
+    """
+    if not segments:
+        return
+    end = max(e for _, e, _ in segments)
+    low, high = min([s for s, _, _ in segments] + [0] * main_diagonal), max([e for _, e, _ in segments] + [0] * main_diagonal)
+    width = high - low + 1
+    like: dict = {}
+    for s, e, label in segments:
+        like.setdefault(label, []).append((s, e))
+    step = max(1, B.CELLS // width)
+    for top in range(low, high + 1, step):
+        below = min(top + step, high + 1)
+        V = np.full((below - top, width), np.nan)
+        flat, all_rows = V.ravel(), below - top == high + 1 - low
+        for s, e, label in segments:
+            a, b = max(s, top), min(e + 1, below)
+            if a >= b:
+                continue
+            for s2, e2 in like[label]:
+                if s2 > e2:
+                    continue
+                if with_block:
+                    V[a - top : b - top, s2 - low : e2 + 1 - low] = score_block
+                if with_path:
+                    i, j = _path_steps(e - s + 1, e2 - s2 + 1)
+                    if not all_rows:
+                        ok = (i >= a - s) & (i < b - s)
+                        i, j = i[ok], j[ok]
+                    flat[i * width + (j + ((s - top) * width + s2 - low))] = score_path
+        if main_diagonal:
+            n = np.arange(max(top, 0), min(below, end + 1))
+            V[n - top, n - low] = score_path
+        yield np.arange(top, below), low, V, ~np.isnan(V)
+
+
+@lru_cache(4096)
+def _path_steps(one: int, two: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a path through a block."""
+    i = np.arange(max(one, two))
+    return (i, (i * (two / one)).astype(np.int64)) if one >= two else ((i * (one / two)).astype(np.int64), i)
