@@ -163,3 +163,14 @@ def test_synthetic_matrix_is_painted_per_track(spark, monkeypatch):
     assert {(r["track_id"], r["n"], r["m"]): r["v"] for r in df.collect()} == want
     got = [g for g in SM._painted(sorted(d[1:] for d in data if d[0] == "x"), 1.0, 0.5, True, True, True)]
     assert len(got) > 5 and {("x", int(n[i]), m + j): V[i, j] for n, m, V, has in got for i, j in zip(*np.nonzero(has), strict=True)} == {k: v for k, v in want.items() if k[0] == "x"}
+
+
+def test_scape_plot_of_frames_equals_that_of_cells(spark):
+    v, X = tracks(spark, [13, 1, 21])
+    cells = SM.normalize_diagonal(SM.threshold(SM.pairwise(v, v, "dot"), 0.3, "relative", True, -2.0))
+    rows = lambda df: df.orderBy("pair_id", "length_m1", "start").collect()
+    df = S.scape_plot_frames(v, 0.3, -2.0)
+    assert rows(df) == rows(S.scape_plot(cells)) and not nodes(df, "Window")
+    for at in (0, 7, 440):
+        dots = X["2"] @ X["2"].T - 0.5
+        assert SW.order_statistic(lambda: (dots[i : i + 4] for i in range(0, 21, 4)), at) == np.sort(dots.ravel())[at]  # noqa: B023
